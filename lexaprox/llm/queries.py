@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urlrules
+from .ann import nearest_neighbours
+from .decontam import decontaminate
+from .licences import known_digests, scan_licences
+from .linededup import dedup_lines
+from .mixing import mix_sources
 from .neardup import near_duplicates
+from .urlrules import judge_urls, rules_frame
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +25,41 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_balanced_postings_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product, of every twentieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that a document's whole text is."""
+    return scan_licences(_table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to the weights 1, 2, 3."""
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without later copies of repeated runs of lines."""
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in 10-word spans of benchmark items."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule of each url."""
+    return judge_urls(_table(spark, sf_dir, "pages"), rules_frame(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_minhash_near_dedup]
+    named = [op1_balanced_postings_ann, op4_minhash_near_dedup, op5_licence_digests, op6_source_mixing, op7_line_dedup, op8_winnowing_decontamination, op10_url_rules]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_rules": urlrules.SQL}
