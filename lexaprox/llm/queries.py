@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import urlrules
 from .ann import nearest_neighbours
 from .decontam import decontaminate
+from .langid import identify
 from .licences import known_digests, scan_licences
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .quality import quality_scores
 from .urlrules import judge_urls, rules_frame
 
 
@@ -20,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores from preference pairs of labelled documents."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 85 % of common 5-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
@@ -51,13 +58,18 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest rule of each url."""
     return judge_urls(_table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_balanced_postings_ann, op4_minhash_near_dedup, op5_licence_digests, op6_source_mixing, op7_line_dedup, op8_winnowing_decontamination, op10_url_rules]
+    named = [op1_balanced_postings_ann, op2_pairwise_quality, op4_minhash_near_dedup, op5_licence_digests, op6_source_mixing, op7_line_dedup, op8_winnowing_decontamination, op9_language_id, op10_url_rules]
     return {f.__name__: f for f in named}
 
 
