@@ -12,6 +12,7 @@ from .decontam import decontaminate
 from .langid import identify
 from .licences import known_digests, scan_licences
 from .linededup import dedup_lines
+from .lm import score_texts
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -27,6 +28,11 @@ def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of each text by a causal self-attention model."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 85 % of common 5-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
@@ -69,7 +75,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_balanced_postings_ann, op2_pairwise_quality, op4_minhash_near_dedup, op5_licence_digests, op6_source_mixing, op7_line_dedup, op8_winnowing_decontamination, op9_language_id, op10_url_rules]
+    named = [op1_balanced_postings_ann, op2_pairwise_quality, op3_attention_lm, op4_minhash_near_dedup, op5_licence_digests, op6_source_mixing, op7_line_dedup, op8_winnowing_decontamination, op9_language_id, op10_url_rules]
     return {f.__name__: f for f in named}
 
 
