@@ -82,3 +82,30 @@ def symbol_mask(text: str) -> Column:
     others in 38 classes that no small letter has. Equal symbols have equal classes."""
     return F.expr(f"""aggregate(filter(split({text}, ''), c -> c <> ''), 0L, (a, c) -> a | shiftleft(1L,
         IF(ascii(c) < 128, ascii(c) & 63, ascii(c) % 38 + IF(ascii(c) % 38 < 33, 0, 26))))""")
+
+
+def _class(c: str) -> int:
+    n = ord(c)
+    return n & 63 if n < 128 else n % 38 + (0 if n % 38 < 33 else 26)
+
+
+def symbol_parts(text: str, cm: CostModel) -> Column:
+    """Of a text's distinct symbols: their class, and the classes of the keys that
+    touch them, as bits."""
+    near: dict[str, int] = {}
+    for a, b in neighbours(cm.layout):
+        near[a] = near.get(a, 0) | 1 << _class(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = F.create_map(*[F.lit(x) for a, m in sorted(near.items()) for x in (a, signed(m))])
+    symbols = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    code = lambda c: F.when(F.ascii(c) < 128, F.ascii(c).bitwiseAND(63)).otherwise(F.ascii(c) % 38 + F.when(F.ascii(c) % 38 < 33, 0).otherwise(26))
+    return F.transform(symbols, lambda c: F.struct(F.call_function("shiftleft", F.lit(1).cast("long"), code(c).cast("int")).alias("own"), F.coalesce(masks[c], F.lit(0).cast("long")).alias("near")))
+
+
+def least_cost(parts: str, mask: str, cm: CostModel) -> Column:
+    """A bound on the cost of a pair: every symbol that the other text lacks has to
+    be left out or replaced, cheaply only by a key that touches it and that the
+    other text has. The first of equal symbols is never a doubled one."""
+    dear = min(cm.sub, cm.indel)
+    cheap = min(dear, cm.sub_adjacent)
+    return F.expr(f"aggregate({parts}, 0, (s, x) -> s + IF({mask} & x.own <> 0, 0, IF({mask} & x.near <> 0, {cheap}, {dear})))")

@@ -1,26 +1,33 @@
 """Top-k search of mistyped queries in a dictionary.
 
-A theta join on `cost <= budget` followed by a top k of each query. Before the
-distance is computed a pair has to pass bounds that no pair within the budget
-fails: lengths (an equi join on the term's length, the query's being widened by
-budget / 8), the classes of symbols that the term lacks, and, for whole terms,
-those that the query lacks. Equal queries are searched once."""
+The search is a theta join on `cost <= budget` and a top k of each query. search()
+scans blocks of terms for each distinct query with numpy and keeps the k best of
+each block, so what is shuffled is k rows a query and block. within_budget() is
+the same join as a DataFrame plan that returns every pair: an equi join on the
+term's length, the query's being widened by budget / 8, then bounds that no pair
+within the budget fails, then the distance."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import BudgetTooLargeError, QueryTooLongError
-from ..functions.costs import MAX_QUERY, CostModel, symbol_mask, whole_units
+from ..functions.costs import MAX_QUERY, CostModel, least_cost, symbol_mask, symbol_parts, whole_units
 from ..functions.distance import distance
 from ..functions.normalize import normalize
+from ..functions.scan import TermBlock, top
 
 #: Dictionaries of up to so many terms are sent to every task.
 BROADCAST_TERMS = 500_000
-#: Larger ones are dealt into so many parts for each length.
+#: Blocks of a larger one, and groups of queries that meet each.
+BLOCK_TERMS, GROUP_QUERIES = 200_000, 20_000
+#: In joins, larger ones are dealt into so many parts for each length.
 PARTS = 64
 
 
@@ -58,7 +65,8 @@ def candidates(queries: DataFrame, dictionary: DataFrame, budget: int, cm: CostM
     if not prune:
         return q.crossJoin(dictionary)
     band, each = budget // cm.c_indel_min, cm.c_min
-    q = q.withColumn("qmask", symbol_mask("q"))
+    q = q.withColumn("qmask", symbol_mask("q")).withColumn("qparts", symbol_parts("q", cm))
+    dictionary = dictionary.withColumn("parts", symbol_parts("norm", cm))
     top = 0
     if prefix:
         top = dictionary.agg(F.max("n")).first()[0] or 0
@@ -75,7 +83,11 @@ def candidates(queries: DataFrame, dictionary: DataFrame, budget: int, cm: CostM
     lacks = F.bit_count(F.col("qmask").bitwiseAND(F.bitwise_not("mask"))) * each <= budget
     if not prefix:
         lacks &= F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("qmask"))) * each <= budget
-    return both.filter(lacks)
+    # The masks alone are quick; what they leave is bounded more closely.
+    lacks &= least_cost("qparts", "mask", cm) <= budget
+    if not prefix:
+        lacks &= least_cost("parts", "qmask", cm) <= budget
+    return both.filter(lacks).drop("qparts", "parts")
 
 
 def within_budget(queries: DataFrame, dictionary: DataFrame, budget: int, cm: CostModel = CostModel(), prefix: bool = False, prune: bool = True, terms: int | None = None) -> DataFrame:
@@ -94,7 +106,42 @@ def ranked(hits: DataFrame, k: int, ranking: str = "coarse", by: str = "q") -> D
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig(), cm: CostModel = CostModel(), prefix: bool = False, prune: bool = True, observation: Observation | None = None) -> DataFrame:
+def _scanned(batches: Iterator[pa.RecordBatch], block: TermBlock, config: SearchConfig, cm: CostModel, prefix: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for q in batch.column("q").to_pylist():
+            ids, cost, weights = block.search(q, config.budget, cm, prefix)
+            best = top(ids, cost, weights, config.k, config.ranking)
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.string()), pa.array(ids[best]), pa.array(cost[best].astype(np.int32)), pa.array(weights[best].astype(np.int32))], names=["q", "id", "cost", "weight"])
+
+
+def scan(asked: DataFrame, dictionary: DataFrame, config: SearchConfig, cm: CostModel, prefix: bool) -> DataFrame:
+    """(q, id, cost, weight): the k best of each query, and of each block of terms.
+
+    A dictionary of up to BROADCAST_TERMS terms, which is counted first, is sent to
+    the tasks; a larger one is dealt into blocks of that size, each with all
+    queries in groups, and a query's hits of all blocks are ranked afterwards."""
+    spark, out = asked.sparkSession, "q string, id long, cost int, weight int"
+    terms = dictionary.select("id", "norm", "weight")
+    n = terms.count()
+    if n <= BROADCAST_TERMS:
+        rows = terms.collect()
+        block = spark.sparkContext.broadcast(TermBlock([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        dealt = asked.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "q")
+        return dealt.mapInArrow(lambda it: _scanned(it, block.value, config, cm, prefix), out)
+    blocks, groups = -(-n // BLOCK_TERMS), max(1, -(-asked.count() // GROUP_QUERIES))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.withColumn("group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", each(blocks))
+    right = terms.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
+
+    def run(qs: pa.Table, ts: pa.Table) -> pa.Table:
+        block = TermBlock(ts.column("id").to_pylist(), ts.column("norm").to_pylist(), ts.column("weight").to_pylist())
+        found = list(_scanned(iter(qs.select(["q"]).to_batches()), block, config, cm, prefix))
+        return pa.Table.from_batches(found, pa.schema([("q", pa.string()), ("id", pa.int64()), ("cost", pa.int32()), ("weight", pa.int32())]))
+
+    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(run, out)
+
+
+def search(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig(), cm: CostModel = CostModel(), prefix: bool = False, observation: Observation | None = None) -> DataFrame:
     """(qid, rank, id, term, norm, cost, weight, input_index) for queries (qid, q),
     which are taken as they are; see search_text.
 
@@ -104,11 +151,11 @@ def search(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = Sea
     if queries.filter(F.length("q") > MAX_QUERY).limit(1).count():
         raise QueryTooLongError(f"a query has more than {MAX_QUERY} code points")
     asked = queries.filter("q IS NOT NULL")
-    hits = within_budget(asked.select("q").distinct(), dictionary, config.budget, cm, prefix, prune)
+    hits = scan(asked.select("q").distinct(), dictionary, config, cm, prefix)
     if observation:
-        hits = hits.observe(observation, F.count(F.lit(1)).alias("within_budget"))
-    best = ranked(hits, config.k, config.ranking).select("q", "rank", "id", F.col("source").alias("term"), "norm", "cost", "weight", "input_index")
-    return asked.select("qid", "q").join(best, "q").drop("q")
+        hits = hits.observe(observation, F.count(F.lit(1)).alias("kept"))
+    best = ranked(hits, config.k, config.ranking).join(dictionary.select("id", F.col("source").alias("term"), "norm", "input_index"), "id")
+    return asked.select("qid", "q").join(best, "q").select("qid", "rank", "id", "term", "norm", "cost", "weight", "input_index")
 
 
 def search_text(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig(), cm: CostModel = CostModel(), fold_case: bool = True, fold_diacritics: bool = True, prefix: bool = False) -> DataFrame:
