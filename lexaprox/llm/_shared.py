@@ -88,15 +88,50 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, ways
     A key with a third of all rows so becomes `ways` keys."""
     left = big.withColumn("_way", F.pmod(F.xxhash64(salt), F.lit(ways)).cast("int"))
     right = small.withColumn("_way", F.explode(F.array(*[F.lit(i) for i in range(ways)])))
-    return left.join(right, [*on, "_way"]).drop("_way")
+    # A table that is small as Parquet can be large in memory: no broadcast.
+    return left.join(right.hint("merge"), [*on, "_way"]).drop("_way")
+
+
+LOCAL_EDGES = 200_000
+
+
+def _forest(batches):
+    """(node, root) of the edges of one task by union-find."""
+    import pyarrow as pa
+
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(u), top(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if schema is not None:
+        found = [(x, top(x)) for x in up]
+        found = [r for r in found if r[0] != r[1]]
+        kind = schema.field(0).type
+        for lo in range(0, len(found), 10_000):
+            node, root = zip(*found[lo : lo + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(node, kind), pa.array(root, kind)], names=["node", "root"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table by alternating large-star and
     small-star steps: rows (node, root), root being the smallest node reached.
     Each step is a shuffle of the edges; nothing is collected. Nodes without an
-    edge are not returned."""
+    edge are not returned. Up to LOCAL_EDGES edges, which is checked, are joined
+    in one task, which gives the same rows."""
     cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    if cur.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        kind = cur.schema["u"].dataType.simpleString()
+        return materialize(cur.coalesce(1).mapInArrow(_forest, f"node {kind}, root {kind}"), "forest")
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -82,13 +82,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deepest = runs.agg(F.max("len")).first()[0] or 0
     while (1 << k) <= deepest:
         here = runs.filter(f"len >= {1 << k} AND len < {2 << k}")
-        ends = here.join(ranks.select(*_KEY, F.col("i").alias("s"), F.col("rank").alias("ra")), [*_KEY, "s"]).withColumn("i", F.expr(f"s + len - {1 << k}")).join(ranks.select(*_KEY, "i", F.col("rank").alias("rb")), [*_KEY, "i"])
+        ends = here.join(ranks.select(*_KEY, F.col("i").alias("s"), F.col("rank").alias("ra")).hint("merge"), [*_KEY, "s"]).withColumn("i", F.expr(f"s + len - {1 << k}")).join(ranks.select(*_KEY, "i", F.col("rank").alias("rb")).hint("merge"), [*_KEY, "i"])
         ends = materialize(ends.select(*_KEY, "s", "len", "ra", "rb"), "intervals")
         first = ends.groupBy("len", "ra", "rb").agg(F.min(F.struct(*_KEY, "s")).alias("first"), F.max(F.struct(*_KEY, "s")).alias("last")).filter("first <> last").drop("last")
         copies = salted_join(ends.withColumn("salt", F.xxhash64(*_KEY, "s")), first, ["len", "ra", "rb"], "salt").filter(F.struct(*_KEY, "s") > F.col("first")).select(*_KEY, "s", "len")
         later = copies if later is None else later.union(copies)
         # The next depth: two neighbouring blocks.
-        pair = ranks.join(ranks.select(*_KEY, F.expr(f"i - {1 << k}").alias("i"), F.col("rank").alias("next")), [*_KEY, "i"])
+        pair = ranks.join(ranks.select(*_KEY, F.expr(f"i - {1 << k}").alias("i"), F.col("rank").alias("next")).hint("merge"), [*_KEY, "i"])
         pair = materialize(pair, "pairs")
         level = _ranks(pair, ["rank", "next"], "ranks")
         ranks = materialize(salted_join(pair.withColumn("salt", F.xxhash64(*_KEY, "i")), level, ["rank", "next"], "salt").select(*_KEY, "i", F.col("above").alias("rank")), "level")
@@ -97,7 +97,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if later is None:
         return at.select(*_KEY, "line_no").limit(0)
     gone = later.select(*_KEY, F.explode(F.expr("sequence(s, s + len - 1)")).alias("i")).distinct()
-    return gone.join(at, [*_KEY, "i"]).select(*_KEY, "line_no")
+    return gone.join(at.hint("merge"), [*_KEY, "i"]).select(*_KEY, "line_no")
 
 
 def place() -> list[F.Column]:
@@ -111,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(*_KEY).agg(F.collect_list("line_no").alias("gone"))
     names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *place())
-    both = own.join(materialize(gone, "gone"), _KEY, "left")
+    both = own.join(materialize(gone, "gone").hint("merge"), _KEY, "left")
     text = names["text"]
     # Kept places, by a hash set, then their lines.
     lines = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col(text), "\n")))
