@@ -14,7 +14,7 @@ lists whose distance is at most (1 + RATIO) times its nearest's. Nearly
 uniform directions, where all lists are about as far, so cost more lists than
 clustered ones; PROBES only bounds the beam.
 
-Lists and their queries are dealt out in blocks of bounded size, so one hot
+Neighbouring lists are packed; packs and their queries are dealt out in blocks of bounded size, so one hot
 vector is no task of its own. Of equal vectors only the smallest ids can be
 among the k nearest, so each distinct vector keeps k + 1 of its ids; that is
 lossless. What is compared is exact: inner products in double precision on the
@@ -42,7 +42,10 @@ from ._shared import materialize
 SAMPLE, MAX_LISTS, LIST_SIZE = 20_000, 4096, 512
 CLOSURE, REPLICAS = 0.15, 4
 RATIO, PROBES = 0.13, 1024
-#: Rows of a list, and queries, that meet in one call.
+#: Neighbouring lists that are read together, so that a query has one row and one
+#: set of results for them all; 31 at most.
+PACK = 8
+#: Rows of a pack, and queries, that meet in one call.
 BLOCK, QUERY_BLOCK = 4096, 1024
 
 
@@ -156,29 +159,56 @@ def _listed(batches: Iterator[pa.RecordBatch], find, dims: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), vecs.take(pa.array(row)), pa.array(lists.astype(np.int32))], names=["id", "vec", "list"])
 
 
-def _nearest(key, left: pd.DataFrame, right: pd.DataFrame, k: int, dims: int) -> pd.DataFrame:
-    """The k best of one block of a list, for each of a block of queries."""
+def _asked(batches: Iterator[pa.RecordBatch], graph: Graph, dims: int) -> Iterator[pa.RecordBatch]:
+    """A row for each pack of lists that a query reads; mask: which of the pack's."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            row, lists = lists_of_queries(graph, _matrix(part.column("vec"), dims))
+            key = row * (MAX_LISTS // PACK + 1) + lists // PACK
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            mask = np.bitwise_or.reduceat(np.left_shift(1, (lists % PACK)[order]), first).astype(np.int32)
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[at])), part.column("vec").take(pa.array(row[at])), pa.array((lists // PACK)[at].astype(np.int32)), pa.array(mask)], names=["id", "vec", "pack", "mask"])
+
+
+def _best(r: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row r, each id once."""
+    order = np.lexsort((ids, -score, r))
+    again = np.zeros(len(order), bool)
+    again[1:] = (r[order][1:] == r[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+    order = order[~again]
+    rr = r[order]
+    return order[np.arange(len(rr)) - np.searchsorted(rr, rr) < k]
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, dims: int) -> pd.DataFrame:
+    """The k best of one block of a pack, for each of a block of queries."""
     out: list[tuple] = []
     if len(left) and len(right):
-        x, ids = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(-1, dims), right["id"].to_numpy()
-        q, qids = np.frombuffer(b"".join(left["vec"]), dtype=np.float64).reshape(-1, dims), left["id"].to_numpy()
-        for lo in range(0, len(q), 256):
-            rough = q[lo : lo + 256] @ x.T
-            take = min(k + 1, len(x))
-            floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
-            # The product's rounding depends on the place; what may tie is summed again in one order.
-            r, c = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
-            score = (q[lo + r] * x[c]).sum(1)
-            own = ids[c] != qids[lo + r]
-            r, c, score = r[own], c[own], score[own]
-            order = np.lexsort((ids[c], -score, r))
-            r, c, score = r[order], c[order], score[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            best = place < k
-            out.append((qids[lo + r[best]], ids[c[best]], score[best]))
+        every, all_ids, lists = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(-1, dims), right["id"].to_numpy(), right["list"].to_numpy()
+        asked, asked_ids, mask = np.frombuffer(b"".join(left["vec"]), dtype=np.float64).reshape(-1, dims), left["id"].to_numpy(), left["mask"].to_numpy()
+        for one in np.unique(lists):
+            own, reads = np.flatnonzero(lists == one), np.flatnonzero(mask >> (one % PACK) & 1)
+            x, ids = every[own], all_ids[own]
+            for lo in range(0, len(reads), 256):
+                at = reads[lo : lo + 256]
+                rough = asked[at] @ x.T
+                take = min(k + 1, len(x))
+                floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
+                # The product's rounding depends on the place; what may tie is summed again in one order.
+                r, c = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
+                other = ids[c] != asked_ids[at[r]]
+                r, c = at[r[other]], c[other]
+                score = (asked[r] * x[c]).sum(1)
+                best = _best(r, ids[c], score, k)
+                out.append((r[best], ids[c[best]], score[best]))
     if not out:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+    r, ids, score = map(np.concatenate, zip(*out))
+    best = _best(r, ids, score, k)
+    return pd.DataFrame({"query_id": asked_ids[r[best]], "vec_id": ids[best], "score": score[best]})
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -218,15 +248,16 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     lists = int(min(MAX_LISTS, max(1, kept.count() // LIST_SIZE), max(1, len(x) // 4)))
     graph = spark.sparkContext.broadcast(Graph(balanced_leaves(x, lists)))
     posted = materialize(kept.select("id", "vec").mapInArrow(lambda it: _listed(it, lambda m: lists_of_vectors(graph.value, m, largest), dims), "id long, vec binary, list int"), "postings")
-    reading = materialize(asked.select("id", "vec").dropDuplicates(["id"]).mapInArrow(lambda it: _listed(it, lambda m: lists_of_queries(graph.value, m), dims), "id long, vec binary, list int"), "probes")
-    blocks = lambda df, name, most: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    # A row for each list, MAX_LISTS at most.
-    dealt = F.broadcast(blocks(posted, "parts", BLOCK).join(blocks(reading, "groups", QUERY_BLOCK), "list"))
+    posted = posted.withColumn("pack", F.floor(F.col("list") / PACK).cast("int"))
+    reading = materialize(asked.select("id", "vec").dropDuplicates(["id"]).mapInArrow(lambda it: _asked(it, graph.value, dims), "id long, vec binary, pack int, mask int"), "probes")
+    blocks = lambda df, name, most: df.groupBy("pack").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    # A row for each pack, MAX_LISTS / PACK at most.
+    dealt = F.broadcast(blocks(posted, "parts", BLOCK).join(blocks(reading, "groups", QUERY_BLOCK), "pack"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    left = reading.join(dealt, "list").select("id", "vec", "list", own("groups").alias("group"), each("parts").alias("part"))
-    right = posted.join(dealt, "list").select("id", "vec", "list", own("parts").alias("part"), each("groups").alias("group"))
-    key = ["list", "part", "group"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda key, a, b: _nearest(key, a, b, k, dims), "query_id long, vec_id long, score double")
+    left = reading.join(dealt, "pack").select("id", "vec", "pack", "mask", own("groups").alias("group"), each("parts").alias("part"))
+    right = posted.join(dealt, "pack").select("id", "vec", "list", "pack", own("parts").alias("part"), each("groups").alias("group"))
+    key = ["pack", "part", "group"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _nearest(a, b, k, dims), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

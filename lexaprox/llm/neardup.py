@@ -8,13 +8,13 @@ documents with the same value there meet in a child. Nodes of at most
 NODE_LIMIT documents are compared exhaustively. Independent trees are repeated
 until a pair at the threshold is missed less than once in a million.
 
-Nodes that stay large are mostly groups of near copies, where branching does not
-help and all pairs would be quadratic. There one member, the pivot, is compared
-with all others. Jaccard distance is a metric, so a member linked to the pivot
-at distance e can have a link to a member outside at distance d from the pivot
-only if e >= d - 0.15; the others leave the node without losing a component.
-What remains, without the pivot, branches on. So every node shrinks, no bucket
-is capped, and no group is expanded into all its pairs.
+Nodes that stay large after some branching are groups of near copies, where branching does not
+help and all pairs would be quadratic. What counts is the component, so a node
+whose documents are in one component by the links found so far is finished, and
+in another only documents of different components are compared. PIVOTS of those
+outside the node's main component are compared with all others, in a round; if
+there were no more, the node is finished too, else the rest branches on. No
+bucket is capped, and no group is expanded into all its pairs.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 fewer words than the shingle length make one shingle; repeated rows and exact
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import chunks, components, lower_words, materialize, mix64, release, salted_join, text_batches
@@ -39,6 +39,10 @@ POSITIONS = 64
 #: Nodes of up to so many documents are compared exhaustively.
 NODE_LIMIT = 24
 TREES = 10
+#: Documents of a larger node that are compared with all others in one round.
+PIVOTS = 8
+#: Large nodes branch so often, two levels at a time, before pivots are compared.
+BRANCHINGS = 2
 _MUL = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mix64(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
@@ -132,7 +136,7 @@ def _children(node: str, depth: int) -> F.Column:
     picks = f"sequence(1, IF(pmod(xxhash64({node}, {depth}), 100) < 18, 2, 1))"
     at = f"CAST(pmod(xxhash64({node}, {depth}, i), {POSITIONS}) AS INT)"
     # The value at a position: four bytes of the binary signature.
-    return F.expr(f"explode(transform({picks}, i -> xxhash64({node}, {depth}, {at}, substring(sig, 4 * {at} + 1, 4))))")
+    return F.expr(f"explode(array_distinct(transform({picks}, i -> xxhash64({node}, {depth}, {at}, substring(sig, 4 * {at} + 1, 4)))))")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -151,8 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Exact copies (the same words) are one class; a partial aggregate sees to groups of copies.
     # Every copy has the same signature, so the class takes that of any.
     classes = materialize(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
-    links = _links(base, classes, width, percent, trees)
-    roots = components(links)
+    roots = components(_links(base, classes, width, percent, trees))
     # A component's name is the smallest doc_id of all its classes.
     named = roots.select(F.col("node").alias("cid"), "root").union(roots.select(F.col("root").alias("cid"), "root").distinct())
     name = named.join(classes.select("cid", "doc_id"), "cid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -166,79 +169,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect each component."""
-    light, slack = classes.select("cid", "n"), percent / 100
+    p = percent / 100
     # A pair at the threshold agrees in percent of the positions; six deviations below, it is out.
-    least = max(0, int(POSITIONS * slack - 6 * (POSITIONS * slack * (1 - slack)) ** 0.5))
+    least = max(0, int(POSITIONS * p - 6 * (POSITIONS * p * (1 - p)) ** 0.5))
     roots = F.expr(f"explode(transform(sequence(1, {trees}), t -> xxhash64('tree', t)))")
     nodes = materialize(classes.select("cid", "sig", roots.alias("root")).select("cid", _children("root", 0).alias("node")), "nodes")
-    near = None
-    depth, links, settled = 0, [], []
-    while True:
-        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("pivot")).filter("size > 1")
-        if depth:
-            nodes = nodes.distinct()
-        grown = materialize(nodes.join(size, "node"), "grown")
-        small = grown.filter(f"size <= {NODE_LIMIT}").select("node", "cid")
-        met = small.select("node", F.col("cid").alias("a")).join(small.select("node", F.col("cid").alias("b")), "node").filter("a < b").select("a", "b")
-        settled.append(met)
-        large = grown.filter(f"size > {NODE_LIMIT}").select("node", "cid", "pivot")
-        if not large.limit(1).count():
+    few, many, depth = None, None, 0
+    for _ in range(BRANCHINGS):
+        grown = _grown(nodes)
+        small = grown.filter(f"size <= {NODE_LIMIT}")
+        few = small if few is None else few.union(small)
+        many = grown.filter(f"size > {NODE_LIMIT}")
+        if not many.limit(1).count():
             break
-        # The pivot against everyone: exact where the signatures leave it open.
-        star = large.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-        guess = materialize(_estimate(star, classes), "guess")
-        exact = materialize(_confirm(base, classes, guess.filter(f"agree >= {least}"), width), "exact")
-        links.append(exact.filter(_linked(percent)).select("a", "b"))
-        far = guess.join(exact.select("a", "b", "common"), ["a", "b"], "left").select(
-            F.col("a").alias("pivot"), F.col("b").alias("cid"), F.coalesce(F.expr(f"{_linked(percent)}"), F.lit(False)).alias("linked"),
-            # Distance, or for pairs ruled out by their signatures a bound below it.
-            F.expr(f"coalesce(1 - common / (n_a + n_b - common), 1 - least(1.0, (agree + 6 * sqrt({POSITIONS} * 0.25)) / {POSITIONS}))").alias("d"))
-        rest = large.filter("cid <> pivot").join(far, ["pivot", "cid"])
-        outside = rest.filter("NOT linked").groupBy("node").agg(F.min("d").alias("nearest"))
-        stay = rest.join(outside, "node").filter(f"NOT linked OR d >= nearest - {1 - slack} - 1e-9").select("node", "cid")
+        nodes, depth = _branched(_branched(many, classes, depth + 1), classes, depth + 2), depth + 2
+        nodes = materialize(nodes, "nodes")
+    else:
+        grown = _grown(nodes)
+        few, many = few.union(grown.filter(f"size <= {NODE_LIMIT}")), grown.filter(f"size > {NODE_LIMIT}")
+    rows = few.union(many)
+    sets = got = part = None
+    while True:
+        rows = rows.withColumn("comp", F.col("cid")) if part is None else _labelled(rows, part)
+        # A node whose documents are all in one component has nothing left to find.
+        tally = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).filter("most.n < all").select("node", F.col("most.comp").alias("main"), F.expr("all - most.n").alias("others"))
+        rows = materialize(rows.join(tally, "node"), "open")
+        few, many = rows.filter(f"size <= {NODE_LIMIT}").select("node", "cid", "comp"), rows.filter(f"size > {NODE_LIMIT}")
+        # Pivots: documents outside the node's main component, all of them if they are few.
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("cid"), "cid"))
+        pivots = materialize(many.filter("comp <> main").select("node", "cid", "comp").withColumn("turn", turn).filter(F.col("turn") <= PIVOTS).drop("turn"), "pivots")
+        side = lambda df, c: df.select("node", F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
+        pairs = side(few, "a").join(side(few, "b"), "node").filter("a < b AND comp_a <> comp_b").select("a", "b")
+        star = side(many, "a").join(side(pivots, "b"), "node").filter("comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        near = materialize(_estimate(pairs.union(star).distinct(), classes, percent).filter(f"agree >= {least}"), "near")
+        if sets is None:
+            wanted = near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))).union(many.select("cid")).distinct()
+            sets = _full_sets(base, classes, wanted, width)
+        # First each class with one partner, then those pairs that are still apart.
+        first = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
+        found = _confirm(first, sets, percent)
+        got = materialize((found if got is None else got.union(found)).distinct(), "links")
+        part = _parts(got)
+        apart = _labelled(_labelled(near, part, "a", "root_a"), part, "b", "root_b").filter("root_a <> root_b").join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "n_a", "n_b")
+        got = materialize(got.union(_confirm(apart, sets, percent)).distinct(), "links")
+        stay = many.filter(f"others > {PIVOTS}").select("node", "cid").join(pivots.select("node", "cid"), ["node", "cid"], "left_anti")
         depth += 1
-        nodes = materialize(stay.join(classes.select("cid", "sig"), "cid").select("cid", _children("node", depth).alias("node")), "nodes")
-    pairs = settled[0]
-    for p in settled[1:]:
-        pairs = pairs.union(p)
-    # Two classes may meet in several nodes; sizes alone rule many out.
-    pairs = pairs.distinct()
-    near = materialize(_estimate(pairs, classes, percent).filter(f"agree >= {least}"), "near")
-    # First each class with its smallest partner, then what that leaves apart.
-    first = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b", "agree")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b", "p.agree")
-    got = materialize(_confirm(base, classes, first, width).filter(_linked(percent)).select("a", "b"), "links")
-    for x in links:
-        got = got.union(x)
-    got = materialize(got.distinct(), "links")
-    part = components(got)
-    part = materialize(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
-    side = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = near.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "n_a", "n_b", "agree").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_confirm(base, classes, apart, width).filter(_linked(percent)).select("a", "b"), "links")
-    return got.union(more)
-
-
-def _linked(percent: int) -> str:
-    return f"100 * common >= {percent} * (n_a + n_b - common)"
-
-
-def _estimate(pairs: DataFrame, classes: DataFrame, percent: int = 0) -> DataFrame:
-    """Pairs with their sizes and the number of minwise values that agree; with
-    percent, without pairs whose sizes alone keep them apart."""
-    pairs = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-    if percent:
-        pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        nodes = materialize(_branched(stay, classes, depth), "nodes")
+        if not nodes.limit(1).count():
+            return got
+        rows, part = _grown(nodes), _parts(got)
+
+
+def _grown(nodes: DataFrame) -> DataFrame:
+    """(node, cid, size) of nodes with two documents or more."""
+    size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return materialize(nodes.join(size, "node").select("node", "cid", "size"), "grown")
+
+
+def _branched(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """(cid, node): the children that rows (node, cid) fall into."""
+    return rows.select("node", "cid").join(classes.select("cid", "sig"), "cid").select("cid", _children("node", depth).alias("node"))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """(node, root) of all classes with a link, roots included."""
+    part = components(links)
+    return materialize(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
+
+
+def _labelled(rows: DataFrame, part: DataFrame, on: str = "cid", name: str = "comp") -> DataFrame:
+    """rows with the component of their class, itself where it has no link."""
+    return rows.join(part.select(F.col("node").alias(on), F.col("root").alias("_root")), on, "left").withColumn(name, F.coalesce("_root", on)).drop("_root")
+
+
+def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs with their sizes and the number of minwise values that agree, without
+    those that sizes alone keep apart."""
+    pairs = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")).hint("merge"), "a").join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
+    pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return pairs.mapInArrow(_agree, "a binary, b binary, n_a long, n_b long, agree int")
 
 
-def _confirm(base: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The exact intersection size of each pair, on full sets made anew from the
-    texts of the classes concerned only."""
-    pairs = materialize(pairs.select("a", "b", "n_a", "n_b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    owner = classes.select("cid", "doc_id").join(wanted, "cid")
-    texts = base.join(owner, "doc_id").select("cid", "text")
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "cid binary, items binary"), "sets").dropDuplicates(["cid"])
-    sets = materialize(sets, "sets")
-    full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b")), "b")
-    return full.mapInArrow(_common, "a binary, b binary, n_a long, n_b long, common long")
+def _full_sets(base: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, items): whole shingle sets of the classes wanted, made anew from
+    their texts, which costs less than keeping those of all documents."""
+    texts = base.join(classes.select("cid", "doc_id").join(wanted.hint("merge"), "cid").hint("merge"), "doc_id").select("cid", "text")
+    sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "cid binary, items binary"), "sets")
+    # A doc_id that comes twice gives its class twice.
+    return sets.dropDuplicates(["cid"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs that are links, by the exact intersection of full sets."""
+    full = pairs.select("a", "b", "n_a", "n_b").join(sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
+    return full.mapInArrow(_common, "a binary, b binary, n_a long, n_b long, common long").filter(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
