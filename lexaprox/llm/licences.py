@@ -42,8 +42,9 @@ KNOWN = [
     ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("Unlicense", _UNLICENSE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
-#: Lines that only say who has the copyright.
-COPYRIGHT = r"(?im)^[\s\p{Punct}]*(portions\s+)?(copyright|copr\.?|\(c\)|©).*$|^[\s\p{Punct}]*all\s+rights\s+reserved[\s\p{Punct}]*$"
+#: Lines that only say who has the copyright. A line that a wrapped text begins with
+#: "copyright notice" or "copyright holders" is none of them, nor is a list's item (c).
+COPYRIGHT = r"(?im)^[\s\p{Punct}]*(portions\s+)?(copyright\b(?![\s\p{Punct}]+(notices?|holders?|owners?|laws?|interests?|licen[cs]es?)\b)|copr\b|\(c\)\s*\d|©).*$|^[\s\p{Punct}]*all\s+rights\s+reserved[\s\p{Punct}]*$"
 
 
 def canonical(text: F.Column) -> F.Column:

@@ -152,8 +152,8 @@ def brute_hits(text, items):
 @pytest.mark.parametrize("limit", [decontam.LOCAL_CHARS, 0])
 def test_decontamination(spark, limit):
     rows = corpus(3)
-    words = decontam.item_words(rows[4][1])
-    items = [(1, " ".join(words[:15])), (2, " ".join(words[2:11]).upper()), (3, "--".join(words[:12])), (4, "two words"), (5, ""), (6, None), (6, "the end"), (11, " ".join(decontam.item_words(rows[0][1])[:25])), (12, "word")]
+    words = [w.decode() for w in decontam.item_words(rows[4][1])]
+    items = [(1, " ".join(words[:15])), (2, " ".join(words[2:11]).upper()), (3, "--".join(words[:12])), (4, "two words"), (5, ""), (6, None), (6, "the end"), (11, b" ".join(decontam.item_words(rows[0][1])[:25]).decode()), (12, "word")]
     rows += [(400, "so " + " ".join(words[:14]) + " end", None, None), (401, "Two,WORDS two words", None, None), (402, "é\u00a0 word", None, None)]
     out = decontam.decontaminate(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
     assert sorted(map(str, map(tuple, out))) == sorted(str((d, *brute_hits(t, items))) for d, t, *_ in rows)

@@ -16,8 +16,8 @@ def folder(spark, tmp_path_factory):
     passage = clean()
     item = " ".join(clean().split()[:20])
     rows += [(300 + i, clean() + "\n" + passage, "aa", "s1", 1) for i in range(4)] + [(310, "x " + clean() + " " + item, "aa", None, 1)]
-    text = clean() + " " + clean() + " " + clean()
-    rows += [(320 + k, text.replace(text.split()[40 + k], "other"), "aa", "s2", 1) for k in range(3)]
+    words = (clean() + " " + clean() + " " + clean()).split()
+    rows += [(320 + k, " ".join([*words[: 40 + k], "other", *words[41 + k :]]), "aa", "s2", 1) for k in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, q, 0) for i, _, q in labelled(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -38,7 +38,8 @@ def test_stages(spark, folder):
             want = {d: t for d, t in brute_lines(before, 25) if t.strip() or (d, t) in {(x, y) for x, y, _ in before}}
             assert {d: r["text"] for d, r in after.items()} == want and all(r["n_chars"] == len(r["text"]) for d, r in after.items() if 301 <= d <= 303)
         elif name == "near_dedup":
-            assert set(after) == {d for d, _, c in brute_components(before, 5, 80) if d == c} and 320 in after and 321 not in after
+            want = {d for d, _, c in brute_components(before, 5, 80) if d == c}
+            assert set(after) ^ want == set() and 320 in after and 321 not in after
         elif name == "decontamination":
             item = [(1, spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"])]
             assert set(after) == {d for d, t, _ in before if not brute_hits(t, item)[-1]} and 310 not in after
