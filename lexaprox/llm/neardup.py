@@ -6,20 +6,23 @@ one or more minwise positions (1 / 0.85 on average, by a hash of the node, so
 that a chosen path lives on with the probability that the method asks for), and
 documents with the same value there meet in a child. Nodes of at most
 NODE_LIMIT documents are compared exhaustively. Independent trees are repeated
-until a pair at the threshold is missed less than once in a million.
-
-Nodes that stay large after some branching are groups of near copies, where branching does not
-help and all pairs would be quadratic. What counts is the component, so a node
-whose documents are in one component by the links found so far is finished, and
-in another only documents of different components are compared. PIVOTS of those
-outside the node's main component are compared with all others, in a round; if
-there were no more, the node is finished too, else the rest branches on. No
-bucket is capped, and no group is expanded into all its pairs.
+until a pair at the threshold is missed less than once in ten thousand.
+
+What counts is the component, so a node whose documents are in one component by
+the links found so far is finished. First every document is compared with the
+smallest of its node, which joins groups of near copies at once. Large nodes that
+are still open branch on, LEVELS at a time. Those that stay large are families
+of texts below the threshold, which branching does not part; they are compared
+exhaustively too, by pairs of blocks, each block a task's: documents outside the
+main component with all. Of a node's links only those come out that join
+components. So no bucket is capped, no group is expanded into all its pairs, and
+nothing that a chosen path has brought together is left out.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 fewer words than the shingle length make one shingle; repeated rows and exact
 copies are one class, compared once; rows with a null doc_id keep a null
-component; columns other than the two named are ignored.
+component unless they are linked with others; columns other than the two named
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, components, lower_words, materialize, mix64, release, salted_join, text_batches
+from ._shared import chunks, components, lower_words, materialize, mix64, release, text_batches
 
 #: Minwise values of a document.
 POSITIONS = 64
 #: Nodes of up to so many documents are compared exhaustively.
-NODE_LIMIT = 24
+NODE_LIMIT = 512
 TREES = 10
-#: Documents of a larger node that are compared with all others in one round.
-PIVOTS = 8
-#: Large nodes branch so often, two levels at a time, before pivots are compared.
-BRANCHINGS = 2
+#: Open nodes that are larger branch so often, some levels at a time.
+BRANCHINGS, LEVELS = 2, 3
+#: Partners of one document that are compared in one task.
+BLOCK = 256
+#: Up to so many rows, 50 bytes each, are named to every task.
+LOCAL_NAMES = 100_000
 _MUL = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mix64(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
@@ -94,41 +99,127 @@ def minwise(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()))
+            for own, texts in chunks(rows, batch.column("text").to_pylist()):
                 flat, ends, joined = shingle_sets(texts, width)
                 sizes = np.diff(ends, prepend=0)
-                sig = iter(minwise(flat, ends))
+                values = minwise(flat, ends)
+                full, short = iter(values), iter(values.astype(np.uint8))
+                ids, hashes = zip(*own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([None if w is None else xxhash.xxh3_128_digest(w) for w in joined], pa.binary()), pa.array(sizes, pa.int64()), pa.array([next(sig).tobytes() if n else None for n in sizes], pa.binary())],
-                    names=["doc_id", "cid", "n_shingles", "sig"],
+                    [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([None if w is None else xxhash.xxh3_128_digest(w) for w in joined], pa.binary()), pa.array(sizes, pa.int64()), pa.array([next(full).tobytes() if n else None for n in sizes], pa.binary()), pa.array([next(short).tobytes() if n else None for n in sizes], pa.binary())],
+                    names=["doc_id", "h", "cid", "n_shingles", "sig", "brief"],
                 )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Whole shingle sets in place of the column text, the last one."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            for cids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                flat, ends, joined = shingle_sets(texts, width)
-                same = [w is not None and xxhash.xxh3_128_digest(w) == c for w, c in zip(joined, cids)]
-                parts = [flat[lo:hi].tobytes() if ok else None for lo, hi, ok in zip([0, *ends[:-1]], ends, same)]
-                keep = [i for i, ok in enumerate(same) if ok]
-                yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in keep], pa.binary()), pa.array([parts[i] for i in keep], pa.binary())], names=["cid", "items"])
+            rest = batch.schema.names[:-1]
+            for rows, texts in chunks(list(range(batch.num_rows)), batch.column("text").to_pylist()):
+                flat, ends, _ = shingle_sets(texts, width)
+                items = [flat[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends)]
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), pa.array(items, pa.binary())], names=[*rest, "items"])
+
+
+def _by_node(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[int, list, list, list]]:
+    """Of rows in the order of node: the node, its documents, components and payloads."""
+    node, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "k", "comp", payload))):
+            if row[0] != node:
+                if len(rows) > 1:
+                    yield node, *map(list, list(zip(*rows))[1:])
+                node, rows = row[0], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield node, *map(list, list(zip(*rows))[1:])
+
+
+def _promising(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a node with a partner in another component of which at least
+    so many minwise values agree in their last byte."""
+    for node, k, comp, brief in _by_node(batches, "brief"):
+        x, c = np.frombuffer(b"".join(brief), dtype=np.uint8).reshape(-1, POSITIONS), np.array(comp)
+        agree = np.zeros((len(k), len(k)), np.uint8)
+        for j in range(POSITIONS):
+            agree += x[:, j, None] == x[None, :, j]
+        keep = np.flatnonzero(((agree >= least) & (c[:, None] != c[None])).any(1))
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), node)), pa.array(np.array(k)[keep]), pa.array(c[keep])], names=["node", "k", "comp"])
+
+
+def common(sets: list[np.ndarray], at_once: int = 1 << 23) -> np.ndarray:
+    """The sizes of the intersections of different sets, a few items at a time."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int64)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    items, place = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(place) > 1
+    owner, place = owner[shared[place]], (np.cumsum(shared) - 1)[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    step = max(1, at_once // n)
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(place, [lo, lo + step])
+        has = np.zeros((n, min(step, int(shared.sum()) - lo)), np.float32)
+        has[owner[a:b], place[a:b] - lo] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both signatures: how many minwise values agree."""
+def _joining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each node, links between its components, one for each two that they join."""
+    for _, k, comp, items in _by_node(batches, "items"):
+        # Equal rows of the documents come twice.
+        pick = list({x: i for i, x in enumerate(k)}.values())
+        sets = [np.frombuffer(items[i], np.uint64) for i in pick]
+        n, both = np.array([len(x) for x in sets]), common(sets)
+        i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1))
+        up = {comp[p]: comp[p] for p in pick}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        found = []
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = top(comp[pick[a]]), top(comp[pick[b]])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                found.append(sorted((k[pick[a]], k[pick[b]])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
+def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of which at least so many minwise values agree in their last byte."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int32).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
-        rest = [batch.column(c) for c in ("a", "b", "n_a", "n_b")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array((x == y).sum(1).astype(np.int32), pa.int32())], names=["a", "b", "n_a", "n_b", "agree"])
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS) for c in ("brief_a", "brief_b"))
+        agree = (x == y).sum(1).astype(np.int32)
+        at = pa.array(np.flatnonzero(agree >= least))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(agree).take(at)], names=["a", "b", "agree"])
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both full sets: the exact size of the intersection."""
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of hub and way, the hub's own first: links, by the
+    exact intersection of full sets."""
+    hub, own = None, np.empty(0, np.uint64)
     for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist())]
-        rest = [batch.column(c) for c in ("a", "b", "n_a", "n_b")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(both, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
+        a, b = [], []
+        for k, h, role, items in zip(*(batch.column(c).to_pylist() for c in ("k", "hub", "role", "items"))):
+            x = np.frombuffer(items, np.uint64)
+            if role == 0:
+                hub, own = h, x
+            elif h == hub:
+                both = len(np.intersect1d(own, x, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(x) - both):
+                    a.append(min(h, k))
+                    b.append(max(h, k))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _children(node: str, depth: int) -> F.Column:
@@ -148,87 +239,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for nulls, empty texts and repeated rows."""
     if not 1 <= width <= len(_MUL):
         raise ValueError(f"width must be 1 to {len(_MUL)}")
-    spark = docs.sparkSession
-    text_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(lambda it: _signed(it, width), "doc_id long, cid binary, n_shingles long, sig binary"), "signed")
+    text_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = materialize(base.mapInArrow(lambda it: _signed(it, width), "doc_id long, h long, cid binary, n_shingles long, sig binary, brief binary"), "signed")
     # Exact copies (the same words) are one class; a partial aggregate sees to groups of copies.
-    # Every copy has the same signature, so the class takes that of any.
-    classes = materialize(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
-    roots = components(_links(base, classes, width, percent, trees))
+    # Every copy has the same signature, so the class takes that of any; (doc_id, h) names one copy.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "n_shingles", "sig", "brief")).alias("one")
+    classes = signed.filter("cid IS NOT NULL").groupBy("cid").agg(one).select("cid", "one.doc_id", "one.h", F.col("one.n_shingles").alias("n"), "one.sig", "one.brief")
+    # Written, so the numbers stay.
+    classes = materialize(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    part = _parts(_links(base, classes, width, percent, trees))
     # A component's name is the smallest doc_id of all its classes.
-    named = roots.select(F.col("node").alias("cid"), "root").union(roots.select(F.col("root").alias("cid"), "root").distinct())
-    name = named.join(classes.select("cid", "doc_id"), "cid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(name, "root").select("cid", F.col("component_id").alias("linked_id"))
-    label = classes.select("cid", "doc_id").join(linked, "cid", "left").select("cid", F.coalesce("linked_id", "doc_id").alias("component_id"))
-    # Class sizes are as uneven as the copies: deal each class over several tasks.
-    with_words = salted_join(signed.filter("cid IS NOT NULL").select("doc_id", "cid", "n_shingles"), label, ["cid"], "doc_id")
-    out = with_words.select("doc_id", "n_shingles", "component_id").union(signed.filter("cid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    own = classes.select("k", "cid", "doc_id").join(part.withColumnRenamed("node", "k").hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    own = materialize(own, "roots")
+    name = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    label = own.join(name.hint("merge"), "root").select("cid", "component_id")
+    # A class is as large as its group of copies; the join has no key but this, so its large partitions can be split.
+    words = signed.filter("cid IS NOT NULL").select("doc_id", "cid", "n_shingles").join(label.hint("merge"), "cid")
+    out = words.select("doc_id", "n_shingles", "component_id").union(signed.filter("cid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect each component."""
     p = percent / 100
-    # A pair at the threshold agrees in percent of the positions; six deviations below, it is out.
-    least = max(0, int(POSITIONS * p - 6 * (POSITIONS * p * (1 - p)) ** 0.5))
+    # A pair at the threshold agrees in percent of the positions; five deviations below, it is out.
+    least = max(0, int(POSITIONS * p - 5 * (POSITIONS * p * (1 - p)) ** 0.5))
     roots = F.expr(f"explode(transform(sequence(1, {trees}), t -> xxhash64('tree', t)))")
-    nodes = materialize(classes.select("cid", "sig", roots.alias("root")).select("cid", _children("root", 0).alias("node")), "nodes")
-    few, many, depth = None, None, 0
-    for _ in range(BRANCHINGS):
-        grown = _grown(nodes)
-        small = grown.filter(f"size <= {NODE_LIMIT}")
-        few = small if few is None else few.union(small)
-        many = grown.filter(f"size > {NODE_LIMIT}")
+    nodes = materialize(classes.select("k", "sig", roots.alias("root")).select("k", _children("root", 0).alias("node")), "nodes")
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).filter("size > 1")
+    rows = materialize(nodes.join(sizes.hint("merge"), "node"), "grown")
+    release(nodes)
+    # The same documents have the same first one in every tree, so there are few pairs. One for each document:
+    near = _near(rows.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), classes, percent, least)
+    best = near.groupBy("b").agg(F.max("agree").alias("agree")).join(near.hint("merge"), ["b", "agree"]).groupBy("b").agg(F.min("a").alias("a"))
+    links = _confirmed(best.select("a", "b"), base, classes, width, percent)
+    part = _parts(links)
+    rows = rows.join(part.select(F.col("node").alias("k"), "root").hint("merge"), "k", "left").select("node", "k", F.coalesce("root", "k").alias("comp"))
+    small = _descended(rows, classes)
+    briefs = small.join(classes.select("k", "brief").hint("merge"), "k").select("node", "k", "comp", "brief").repartition("node").sortWithinPartitions("node")
+    kept = materialize(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
+    sets = _with_sets(kept, base, classes, width).repartition("node").sortWithinPartitions("node")
+    more = materialize(sets.mapInArrow(lambda it: _joining(it, percent), "a long, b long"), "more-links")
+    return links.union(more)
+
+
+def _descended(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """From rows (node, k, comp) those of nodes with more than one component, large
+    ones branched, and at last dealt into pairs of blocks."""
+    small, depth = None, 1
+    join = lambda a, b: b if a is None else a.union(b)
+    for k in range(BRANCHINGS + 1):
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("size > 1 AND least < most")
+        rows = materialize(rows.join(sizes.select("node", "size").hint("merge"), "node"), "open")
+        small = join(small, rows.filter(f"size <= {NODE_LIMIT}").select("node", "k", "comp"))
+        many = rows.filter(f"size > {NODE_LIMIT}").select("node", "k", "comp")
         if not many.limit(1).count():
-            break
-        nodes, depth = _branched(_branched(many, classes, depth + 1), classes, depth + 2), depth + 2
-        nodes = materialize(nodes, "nodes")
-    else:
-        grown = _grown(nodes)
-        few, many = few.union(grown.filter(f"size <= {NODE_LIMIT}")), grown.filter(f"size > {NODE_LIMIT}")
-    rows = few.union(many)
-    sets = got = part = None
-    while True:
-        rows = rows.withColumn("comp", F.col("cid")) if part is None else _labelled(rows, part)
-        # A node whose documents are all in one component has nothing left to find.
-        tally = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).filter("most.n < all").select("node", F.col("most.comp").alias("main"), F.expr("all - most.n").alias("others"))
-        rows = materialize(rows.join(tally, "node"), "open")
-        few, many = rows.filter(f"size <= {NODE_LIMIT}").select("node", "cid", "comp"), rows.filter(f"size > {NODE_LIMIT}")
-        # Pivots: documents outside the node's main component, all of them if they are few.
-        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("cid"), "cid"))
-        pivots = materialize(many.filter("comp <> main").select("node", "cid", "comp").withColumn("turn", turn).filter(F.col("turn") <= PIVOTS).drop("turn"), "pivots")
-        side = lambda df, c: df.select("node", F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
-        pairs = side(few, "a").join(side(few, "b"), "node").filter("a < b AND comp_a <> comp_b").select("a", "b")
-        star = side(many, "a").join(side(pivots, "b"), "node").filter("comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        near = materialize(_estimate(pairs.union(star).distinct(), classes, percent).filter(f"agree >= {least}"), "near")
-        if sets is None:
-            wanted = near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))).union(many.select("cid")).distinct()
-            sets = _full_sets(base, classes, wanted, width)
-        # First each class with one partner, then those pairs that are still apart.
-        first = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
-        found = _confirm(first, sets, percent)
-        got = materialize((found if got is None else got.union(found)).distinct(), "links")
-        part = _parts(got)
-        apart = _labelled(_labelled(near, part, "a", "root_a"), part, "b", "root_b").filter("root_a <> root_b").join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "n_a", "n_b")
-        got = materialize(got.union(_confirm(apart, sets, percent)).distinct(), "links")
-        stay = many.filter(f"others > {PIVOTS}").select("node", "cid").join(pivots.select("node", "cid"), ["node", "cid"], "left_anti")
-        depth += 1
-        nodes = materialize(_branched(stay, classes, depth), "nodes")
-        if not nodes.limit(1).count():
-            return got
-        rows, part = _grown(nodes), _parts(got)
-
-
-def _grown(nodes: DataFrame) -> DataFrame:
-    """(node, cid, size) of nodes with two documents or more."""
-    size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return materialize(nodes.join(size, "node").select("node", "cid", "size"), "grown")
+            return small
+        if k < BRANCHINGS:
+            rows, depth = materialize(_branched(many, classes, depth), "nodes"), depth + LEVELS
+    main = many.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    half = NODE_LIMIT // 2
+    blocks = lambda n: F.ceil(n / half).cast("int")
+    main = main.select("node", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("all")).alias("blocks"))
+    dealt = many.join(main.hint("merge"), "node")
+    own = lambda c, salt: F.pmod(F.xxhash64("k", F.lit(salt)), F.col(c)).cast("int")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # A pair of blocks is named by both; documents outside the main component are in some of either kind.
+    first = dealt.filter("comp <> main").withColumn("i", own("others", 1)).withColumn("j", F.explode(each("blocks")))
+    second = dealt.withColumn("j", own("blocks", 2)).withColumn("i", F.explode(each("others")))
+    pairs = first.select("node", "k", "comp", "i", "j").union(second.select("node", "k", "comp", "i", "j")).distinct()
+    return small.union(pairs.select(F.xxhash64("node", "i", "j").alias("node"), "k", "comp"))
+
+
+def _with_sets(rows: DataFrame, base: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """rows, of which one column is k, with the whole shingle sets of their
+    documents as items. Sets are made anew from the texts, which costs less than
+    keeping those of all documents."""
+    at = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
+    named = materialize(classes.select("k", at, "h").join(rows.hint("merge"), "k"), "named")
+    # Few rows are named to every task, which is checked; many meet the texts in a shuffle.
+    few = named.limit(LOCAL_NAMES + 1).count() <= LOCAL_NAMES
+    # (at, h) names a row of the documents, or equal rows.
+    texts = base.select(at, "h", "text").join(F.broadcast(named) if few else named.hint("merge"), ["at", "h"]).select(*rows.columns, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1])
+    return texts.mapInArrow(lambda it: _sets(it, width), f"{schema}, items binary")
 
 
 def _branched(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """(cid, node): the children that rows (node, cid) fall into."""
-    return rows.select("node", "cid").join(classes.select("cid", "sig"), "cid").select("cid", _children("node", depth).alias("node"))
+    """(k, comp, node): the nodes LEVELS further that rows (node, k, comp) fall into."""
+    out = rows.select("node", "k", "comp").join(classes.select("k", "sig").hint("merge"), "k")
+    for j in range(LEVELS):
+        out = out.select("k", "sig", "comp", _children("node", depth + j).alias("node"))
+    return out.select("k", "comp", "node")
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -237,29 +340,21 @@ def _parts(links: DataFrame) -> DataFrame:
     return materialize(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
 
 
-def _labelled(rows: DataFrame, part: DataFrame, on: str = "cid", name: str = "comp") -> DataFrame:
-    """rows with the component of their class, itself where it has no link."""
-    return rows.join(part.select(F.col("node").alias(on), F.col("root").alias("_root")), on, "left").withColumn(name, F.coalesce("_root", on)).drop("_root")
-
-
-def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs with their sizes and the number of minwise values that agree, without
-    those that sizes alone keep apart."""
-    pairs = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")).hint("merge"), "a").join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
-    pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return pairs.mapInArrow(_agree, "a binary, b binary, n_a long, n_b long, agree int")
-
-
-def _full_sets(base: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, items): whole shingle sets of the classes wanted, made anew from
-    their texts, which costs less than keeping those of all documents."""
-    texts = base.join(classes.select("cid", "doc_id").join(wanted.hint("merge"), "cid").hint("merge"), "doc_id").select("cid", "text")
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "cid binary, items binary"), "sets")
-    # A doc_id that comes twice gives its class twice.
-    return sets.dropDuplicates(["cid"])
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs that are links, by the exact intersection of full sets."""
-    full = pairs.select("a", "b", "n_a", "n_b").join(sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
-    return full.mapInArrow(_common, "a binary, b binary, n_a long, n_b long, common long").filter(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b, agree): pairs that neither their sizes nor their minwise values keep apart."""
+    side = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("brief").alias(f"brief_{c}")).hint("merge")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return materialize(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long, agree int"), "near")
+
+
+def _confirmed(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs that are links. A pair's second set goes to the first one's
+    task, BLOCK to each, with a copy of the first."""
+    pairs = materialize(pairs, "pairs")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways"))
+    member = pairs.join(hubs.hint("merge"), "a").select(F.col("b").alias("k"), F.col("a").alias("hub"), F.lit(1).alias("role"), F.lit(1).alias("ways"), F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way"))
+    hub = hubs.select(F.col("a").alias("k"), F.col("a").alias("hub"), F.lit(0).alias("role"), "ways", F.lit(0).alias("way"))
+    sets = _with_sets(member.union(hub), base, classes, width)
+    every = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("ways") - 1)).otherwise(F.array("way")))
+    dealt = sets.select("k", "hub", "role", every.alias("way"), "items").repartition("hub", "way").sortWithinPartitions("hub", "way", "role")
+    return materialize(dealt.mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "links")

@@ -69,18 +69,27 @@ def brute_components(rows, width, percent):
     return [(d, len(sets[i]), least.get(top(i))) for i, (d, *_) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limit,pivots", [(24, 8), (3, 2)])
-def test_near_duplicates(spark, monkeypatch, limit, pivots):
+@pytest.mark.parametrize("limit,names", [(512, 100_000), (4, 0)])
+def test_near_duplicates(spark, monkeypatch, limit, names):
     monkeypatch.setattr(neardup, "NODE_LIMIT", limit)
-    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "BLOCK", limit)
+    monkeypatch.setattr(neardup, "LOCAL_NAMES", names)
     rows = corpus()
-    for percent in (85,) if limit == 24 else (80,):
+    for percent in (85,) if limit == 512 else (80,):
         out = neardup.near_duplicates(documents(spark, rows), percent=percent).collect()
         key = lambda r: tuple(-1 if x is None else x for x in r)
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=key) == sorted(brute_components(rows, 5, percent), key=key)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out if r["doc_id"] is not None)
 
 
+def test_common():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(9)]
+    for size in (1 << 23, 50):
+        got = neardup.common(sets, size)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(i))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(documents(spark, [])).collect() == []
 
