@@ -46,8 +46,8 @@ TREES = 10
 BRANCHINGS, LEVELS = 2, 3
 #: Partners of one document that are compared in one task.
 BLOCK = 256
-#: Up to so many rows, 50 bytes each, are named to every task.
-LOCAL_NAMES = 100_000
+#: Up to so many documents and rows of theirs, 30 bytes each, are named to every task.
+LOCAL_NAMES = 400_000
 _MUL = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mix64(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
@@ -222,12 +222,15 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _children(node: str, depth: int) -> F.Column:
-    """The children of a row's node that its document falls into."""
-    picks = f"sequence(1, IF(pmod(xxhash64({node}, {depth}), 100) < 18, 2, 1))"
-    at = f"CAST(pmod(xxhash64({node}, {depth}, i), {POSITIONS}) AS INT)"
-    # The value at a position: four bytes of the binary signature.
-    return F.expr(f"explode(array_distinct(transform({picks}, i -> xxhash64({node}, {depth}, {at}, substring(sig, 4 * {at} + 1, 4)))))")
+def _children(node: str, depth: int, levels: int = 1) -> F.Column:
+    """The nodes so many levels below a row's node that its document falls into."""
+    nodes = f"array({node})"
+    for d in range(depth, depth + levels):
+        picks = f"sequence(1, IF(pmod(xxhash64(x, {d}), 100) < 18, 2, 1))"
+        at = f"CAST(pmod(xxhash64(x, {d}, i), {POSITIONS}) AS INT)"
+        # The value at a position: four bytes of the binary signature.
+        nodes = f"flatten(transform({nodes}, x -> array_distinct(transform({picks}, i -> xxhash64(x, {d}, {at}, substring(sig, 4 * {at} + 1, 4))))))"
+    return F.explode(F.expr(nodes))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -317,21 +320,21 @@ def _with_sets(rows: DataFrame, base: DataFrame, classes: DataFrame, width: int)
     documents as items. Sets are made anew from the texts, which costs less than
     keeping those of all documents."""
     at = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
-    named = materialize(classes.select("k", at, "h").join(rows.hint("merge"), "k"), "named")
-    # Few rows are named to every task, which is checked; many meet the texts in a shuffle.
-    few = named.limit(LOCAL_NAMES + 1).count() <= LOCAL_NAMES
+    rest = [c for c in rows.columns if c != "k"]
+    # A document's sets are made once for all its rows.
+    own = rows.groupBy("k").agg(F.collect_list(F.struct(*rest)).alias("own"))
+    named = materialize(classes.select("k", at, "h").join(own.hint("merge"), "k"), "named")
+    # Few documents are named to every task, which is checked; many meet the texts in a shuffle.
+    few = named.agg(F.coalesce(F.sum(F.size("own") + 1), F.lit(0))).first()[0] <= LOCAL_NAMES
     # (at, h) names a row of the documents, or equal rows.
-    texts = base.select(at, "h", "text").join(F.broadcast(named) if few else named.hint("merge"), ["at", "h"]).select(*rows.columns, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1])
-    return texts.mapInArrow(lambda it: _sets(it, width), f"{schema}, items binary")
+    texts = base.select(at, "h", "text").join(F.broadcast(named) if few else named.hint("merge"), ["at", "h"]).select("k", "own", "text")
+    sets = texts.mapInArrow(lambda it: _sets(it, width), f"k long, own {named.schema['own'].dataType.simpleString()}, items binary")
+    return sets.select("k", F.explode("own").alias("own"), "items").select(*[f"own.{c}" if c != "k" else c for c in rows.columns], "items")
 
 
 def _branched(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     """(k, comp, node): the nodes LEVELS further that rows (node, k, comp) fall into."""
-    out = rows.select("node", "k", "comp").join(classes.select("k", "sig").hint("merge"), "k")
-    for j in range(LEVELS):
-        out = out.select("k", "sig", "comp", _children("node", depth + j).alias("node"))
-    return out.select("k", "comp", "node")
+    return rows.join(classes.select("k", "sig").hint("merge"), "k").select("k", "comp", _children("node", depth, LEVELS).alias("node"))
 
 
 def _parts(links: DataFrame) -> DataFrame:

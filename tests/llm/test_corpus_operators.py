@@ -69,7 +69,7 @@ def brute_components(rows, width, percent):
     return [(d, len(sets[i]), least.get(top(i))) for i, (d, *_) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limit,names", [(512, 100_000), (4, 0)])
+@pytest.mark.parametrize("limit,names", [(512, 400_000), (4, 0)])
 def test_near_duplicates(spark, monkeypatch, limit, names):
     monkeypatch.setattr(neardup, "NODE_LIMIT", limit)
     monkeypatch.setattr(neardup, "BLOCK", limit)
