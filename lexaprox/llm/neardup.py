@@ -46,8 +46,6 @@ TREES = 10
 BRANCHINGS, LEVELS = 2, 3
 #: Partners of one document that are compared in one task.
 BLOCK = 256
-#: Up to so many documents and rows of theirs, 30 bytes each, are named to every task.
-LOCAL_NAMES = 400_000
 _MUL = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mix64(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
@@ -284,6 +282,7 @@ def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees:
     kept = materialize(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
     sets = _with_sets(kept, base, classes, width).repartition("node").sortWithinPartitions("node")
     more = materialize(sets.mapInArrow(lambda it: _joining(it, percent), "a long, b long"), "more-links")
+    release(kept)
     return links.union(more)
 
 
@@ -323,11 +322,9 @@ def _with_sets(rows: DataFrame, base: DataFrame, classes: DataFrame, width: int)
     rest = [c for c in rows.columns if c != "k"]
     # A document's sets are made once for all its rows.
     own = rows.groupBy("k").agg(F.collect_list(F.struct(*rest)).alias("own"))
-    named = materialize(classes.select("k", at, "h").join(own.hint("merge"), "k"), "named")
-    # Few documents are named to every task, which is checked; many meet the texts in a shuffle.
-    few = named.agg(F.coalesce(F.sum(F.size("own") + 1), F.lit(0))).first()[0] <= LOCAL_NAMES
+    named = classes.select("k", at, "h").join(own.hint("merge"), "k")
     # (at, h) names a row of the documents, or equal rows.
-    texts = base.select(at, "h", "text").join(F.broadcast(named) if few else named.hint("merge"), ["at", "h"]).select("k", "own", "text")
+    texts = base.select(at, "h", "text").join(named.hint("merge"), ["at", "h"]).select("k", "own", "text")
     sets = texts.mapInArrow(lambda it: _sets(it, width), f"k long, own {named.schema['own'].dataType.simpleString()}, items binary")
     return sets.select("k", F.explode("own").alias("own"), "items").select(*[f"own.{c}" if c != "k" else c for c in rows.columns], "items")
 

@@ -69,11 +69,10 @@ def brute_components(rows, width, percent):
     return [(d, len(sets[i]), least.get(top(i))) for i, (d, *_) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limit,names", [(512, 400_000), (4, 0)])
-def test_near_duplicates(spark, monkeypatch, limit, names):
+@pytest.mark.parametrize("limit", [512, 4])
+def test_near_duplicates(spark, monkeypatch, limit):
     monkeypatch.setattr(neardup, "NODE_LIMIT", limit)
     monkeypatch.setattr(neardup, "BLOCK", limit)
-    monkeypatch.setattr(neardup, "LOCAL_NAMES", names)
     rows = corpus()
     for percent in (85,) if limit == 512 else (80,):
         out = neardup.near_duplicates(documents(spark, rows), percent=percent).collect()
