@@ -2,16 +2,18 @@
 
 Each text becomes a set of hashed shingles, each set a vector of minwise values.
 A tree starts with all documents in its root and branches: every node chooses
-one or more minwise positions (1 / 0.85 on average, by a hash of the node, so
-that a chosen path lives on with the probability that the method asks for), and
-documents with the same value there meet in a child. Nodes of at most
-NODE_LIMIT documents are compared exhaustively. Independent trees are repeated
-until a pair at the threshold is missed less than once in ten thousand.
+one or more minwise positions, by a hash of the node, and documents with the same
+value there meet in a child. Nodes of at most NODE_LIMIT documents are compared
+exhaustively. How many positions a node chooses on average is worked out from the
+threshold and the number of trees (see branching), so that a pair at the
+threshold is parted in all trees less than once in ten thousand at the deepest
+level too. Where that would take more than MOST positions, nothing branches
+beyond the first level.
 
 What counts is the component, so a node whose documents are in one component by
 the links found so far is finished. First every document is compared with the
 smallest of its node, which joins groups of near copies at once. Large nodes that
-are still open branch on, LEVELS at a time. Those that stay large are families
+are still open branch on, LEVELS at a time. Those that stay large are mostly families
 of texts below the threshold, which branching does not part; they are compared
 exhaustively too, by pairs of blocks, each block a task's: documents outside the
 main component with all. Of a node's links only those come out that join
@@ -28,6 +30,8 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,11 @@ NODE_LIMIT = 512
 TREES = 10
 #: Open nodes that are larger branch so often, some levels at a time.
 BRANCHINGS, LEVELS = 2, 3
+#: How often a pair at the threshold may be parted in all trees; half of what is
+#: promised, as a node can choose one position twice, which is not reckoned with.
+MISSED = 5e-5
+#: The least and most positions a node chooses, in hundredths.
+LEAST, MOST = 118, 400
 #: Partners of one document that are compared in one task.
 BLOCK = 256
 _MUL = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -51,6 +60,40 @@ _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE
 _B = mix64(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
 
 
+def parted(percent: int, trees: int, root: int, deep: int, depth: int) -> float:
+    """The probability that a pair at the threshold meets in no node `depth` levels
+    down of any tree, if nodes choose root / 100 positions in the first level and
+    deep / 100 in those below. All trees share the pair's agreeing positions."""
+    p, out = percent / 100, 0.0
+    for agreeing in range(POSITIONS + 1):
+        a, x = agreeing / POSITIONS, 0.0
+        for d in range(depth):
+            whole, rest = divmod(root if d == depth - 1 else deep, 100)
+            one = 1 - a + a * x
+            x = one**whole * (1 - rest / 100 + rest / 100 * one)
+        out += comb(POSITIONS, agreeing) * p**agreeing * (1 - p) ** (POSITIONS - agreeing) * x**trees
+    return out
+
+
+@lru_cache
+def branching(percent: int, trees: int) -> tuple[int, int]:
+    """(root, deep): the positions a node chooses on average, in hundredths, in the
+    first level and in those below; deep is 0 where nothing is to branch there.
+    root leaves most of MISSED to the levels below. At thresholds so low that not
+    even all positions meet it (below about 15 %), root is all of them."""
+
+    def smallest(most: int, ok) -> int:
+        lo, hi = LEAST, most
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if ok(mid) else (mid + 1, hi)
+        return lo
+
+    root = smallest(100 * POSITIONS, lambda b: parted(percent, trees, b, b, 1) <= MISSED / 10)
+    deep = smallest(MOST + 1, lambda b: parted(percent, trees, root, b, 1 + BRANCHINGS * LEVELS) <= MISSED)
+    return root, deep if deep <= MOST else 0
+
+
 def shingle_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Sorted distinct hashed shingles of all texts, end to end; the end of each
     text's; and each text's words, joined (None without words)."""
@@ -220,11 +263,12 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _children(node: str, depth: int, levels: int = 1) -> F.Column:
-    """The nodes so many levels below a row's node that its document falls into."""
+def _children(node: str, depth: int, chosen: int, levels: int = 1) -> F.Column:
+    """The nodes so many levels below a row's node that its document falls into;
+    each chooses chosen / 100 positions on average."""
     nodes = f"array({node})"
     for d in range(depth, depth + levels):
-        picks = f"sequence(1, IF(pmod(xxhash64(x, {d}), 100) < 18, 2, 1))"
+        picks = f"sequence(1, IF(pmod(xxhash64(x, {d}), 100) < {chosen % 100}, {chosen // 100 + 1}, {chosen // 100}))"
         at = f"CAST(pmod(xxhash64(x, {d}, i), {POSITIONS}) AS INT)"
         # The value at a position: four bytes of the binary signature.
         nodes = f"flatten(transform({nodes}, x -> array_distinct(transform({picks}, i -> xxhash64(x, {d}, {at}, substring(sig, 4 * {at} + 1, 4))))))"
@@ -266,8 +310,9 @@ def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees:
     p = percent / 100
     # A pair at the threshold agrees in percent of the positions; five deviations below, it is out.
     least = max(0, int(POSITIONS * p - 5 * (POSITIONS * p * (1 - p)) ** 0.5))
+    root, deep = branching(percent, trees)
     roots = F.expr(f"explode(transform(sequence(1, {trees}), t -> xxhash64('tree', t)))")
-    nodes = materialize(classes.select("k", "sig", roots.alias("root")).select("k", _children("root", 0).alias("node")), "nodes")
+    nodes = materialize(classes.select("k", "sig", roots.alias("root")).select("k", _children("root", 0, root).alias("node")), "nodes")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).filter("size > 1")
     rows = materialize(nodes.join(sizes.hint("merge"), "node"), "grown")
     release(nodes)
@@ -277,7 +322,7 @@ def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees:
     links = _confirmed(best.select("a", "b"), base, classes, width, percent)
     part = _parts(links)
     rows = rows.join(part.select(F.col("node").alias("k"), "root").hint("merge"), "k", "left").select("node", "k", F.coalesce("root", "k").alias("comp"))
-    small = _descended(rows, classes)
+    small = _descended(rows, classes, deep)
     briefs = small.join(classes.select("k", "brief").hint("merge"), "k").select("node", "k", "comp", "brief").repartition("node").sortWithinPartitions("node")
     kept = materialize(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
     sets = _with_sets(kept, base, classes, width).repartition("node").sortWithinPartitions("node")
@@ -286,20 +331,21 @@ def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees:
     return links.union(more)
 
 
-def _descended(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _descended(rows: DataFrame, classes: DataFrame, deep: int) -> DataFrame:
     """From rows (node, k, comp) those of nodes with more than one component, large
-    ones branched, and at last dealt into pairs of blocks."""
+    ones branched (unless deep is 0), and at last dealt into pairs of blocks."""
     small, depth = None, 1
+    branchings = BRANCHINGS if deep else 0
     join = lambda a, b: b if a is None else a.union(b)
-    for k in range(BRANCHINGS + 1):
+    for k in range(branchings + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("size > 1 AND least < most")
         rows = materialize(rows.join(sizes.select("node", "size").hint("merge"), "node"), "open")
         small = join(small, rows.filter(f"size <= {NODE_LIMIT}").select("node", "k", "comp"))
         many = rows.filter(f"size > {NODE_LIMIT}").select("node", "k", "comp")
         if not many.limit(1).count():
             return small
-        if k < BRANCHINGS:
-            rows, depth = materialize(_branched(many, classes, depth), "nodes"), depth + LEVELS
+        if k < branchings:
+            rows, depth = materialize(_branched(many, classes, depth, deep), "nodes"), depth + LEVELS
     main = many.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
     half = NODE_LIMIT // 2
     blocks = lambda n: F.ceil(n / half).cast("int")
@@ -329,9 +375,9 @@ def _with_sets(rows: DataFrame, base: DataFrame, classes: DataFrame, width: int)
     return sets.select("k", F.explode("own").alias("own"), "items").select(*[f"own.{c}" if c != "k" else c for c in rows.columns], "items")
 
 
-def _branched(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+def _branched(rows: DataFrame, classes: DataFrame, depth: int, deep: int) -> DataFrame:
     """(k, comp, node): the nodes LEVELS further that rows (node, k, comp) fall into."""
-    return rows.join(classes.select("k", "sig").hint("merge"), "k").select("k", "comp", _children("node", depth, LEVELS).alias("node"))
+    return rows.join(classes.select("k", "sig").hint("merge"), "k").select("k", "comp", _children("node", depth, deep, LEVELS).alias("node"))
 
 
 def _parts(links: DataFrame) -> DataFrame:

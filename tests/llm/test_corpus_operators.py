@@ -81,6 +81,27 @@ def test_near_duplicates(spark, monkeypatch, limit):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_in_a_large_family(spark, monkeypatch, percent):
+    """800 texts that share 150 of 175 words, each linked with one other; nodes of most of them branch to the deepest level."""
+    monkeypatch.setattr(neardup, "NODE_LIMIT", 128)
+    both = 6 if percent == 80 else 11
+    rows, common = [], [f"c{j}" for j in range(150)]
+    for i in range(800):
+        pair = [f"p{i // 2}x{j}" for j in range(both)]
+        rows.append((i, " ".join(common + pair + [f"o{i}x{j}" for j in range(25 - both)]), "aa", "s1"))
+    out = neardup.near_duplicates(documents(spark, rows), width=1, percent=percent).collect()
+    assert len(out) == 800 and all(r["component_id"] in (r["doc_id"], r["doc_id"] // 2 * 2) for r in out)
+    assert sum(r["component_id"] != r["doc_id"] // 2 * 2 for r in out) <= 1
+
+
+def test_branching():
+    for percent in (20, 30, 50, 80, 85, 90, 100):
+        root, deep = neardup.branching(percent, neardup.TREES)
+        assert neardup.parted(percent, neardup.TREES, root, deep, 7 if deep else 1) <= 1e-4
+    assert neardup.branching(80, neardup.TREES)[0] == neardup.branching(85, neardup.TREES)[0] == 118
+
+
 def test_common():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(9)]
