@@ -285,6 +285,60 @@ def test_vectors(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_index_is_selective():
+    """Of 12000 vectors in 375 lists, of which a query compares few and finds most of its nearest."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 32))
+    for name, x, most in (
+        ("uniform", rng.standard_normal((12_000, 32)), 0.5),
+        ("clusters", centres[rng.integers(0, 60, 12_000)] + 0.35 * rng.standard_normal((12_000, 32)), 0.1),
+        ("norms", (centres[rng.integers(0, 60, 12_000)] + 0.35 * rng.standard_normal((12_000, 32))) * rng.uniform(0.5, 1.5, (12_000, 1)), 0.1),
+    ):
+        largest = np.sqrt((x**2).sum(1).max()) * (1 + 1e-9)
+        full = np.concatenate([x, np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))[:, None]], 1).astype(np.float32)
+        graph = ann.Graph(ann.centroids(full, len(x) // ann.LIST_SIZE))
+        member = np.zeros((len(x), len(graph.points)), bool)
+        for lo in range(0, len(x), 1000):
+            row, lists = ann.lists_of_vectors(graph, x[lo : lo + 1000], largest)
+            member[lo + row, lists] = True
+        assert len(graph.points) >= 300 and member.any(1).all() and member.sum(1).max() <= ann.REPLICAS
+        q = x[:200]
+        ratio = ann.fitted_ratio(graph, x[300:556], full[:, :-1].astype(float), largest, 20)
+        row, lists = ann.lists_of_queries(graph, q, largest, ratio, member.sum(0), 168)
+        reads = np.zeros((len(q), len(graph.points)), bool)
+        reads[row, lists] = True
+        seen = (reads.astype(np.float32) @ member.T.astype(np.float32)) > 0
+        score = q @ x.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        want = np.argsort(-score, axis=1)[:, :20]
+        assert np.take_along_axis(seen, want, 1).mean() >= 0.9, name
+        assert seen.mean() < most and seen.sum(1).min() >= 21, (name, seen.mean())
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_vectors_in_many_lists(spark, single):
+    """The whole operator over 60 lists in 32 packs, with repeated ids, against brute force over all."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 16))
+    x = (centres[rng.integers(0, 12, 2000)] + 0.3 * rng.standard_normal((2000, 16))).astype(np.float32).astype(float)
+    kind = "float" if single else "double"
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:50] + [(7, [9.0] * 16)], f"vec_id long, embedding array<{kind}>").repartition(3)
+    out = ann.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    again = ann.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again)) and len(out) == 2000
+    if min(rows[7][1]) < 0:
+        # Of the two rows of one id one counts.
+        assert len({r["score"] for r in out if r["vec_id"] == 7 and r["query_id"] == 0}) <= 1
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        got = [r for r in out if r["query_id"] == q]
+        assert sorted(r["rank"] for r in got) == list(range(1, 21)) and len({r["vec_id"] for r in got}) == 20
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r["vec_id"] for r in got})
+    assert hits >= 0.9 * 2000
+
 def labelled(n=240):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["the", "house", "stands", "near", "a", "river"]) for _ in range(40)).capitalize() + "."
