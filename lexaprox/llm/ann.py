@@ -66,7 +66,7 @@ def balanced_leaves(x: np.ndarray, leaves: int, seed: int = 7) -> np.ndarray:
             if len(p):
                 out.append(p.mean(0))
             continue
-        c = p[rng.choice(len(p), 2, replace=False)].astype(np.float64)
+        c = p[rng.choice(len(p), 2, replace=False)]
         for _ in range(6):
             side = ((p - c[0]) ** 2).sum(1) - ((p - c[1]) ** 2).sum(1)
             near = side <= np.median(side)
@@ -179,14 +179,16 @@ def fitted_ratio(graph: Graph, q: np.ndarray, x: np.ndarray, largest: float, k:
     """The least ratio by which AIM of the k nearest of each of q among x, its own
     copy left out, stand in lists that the query would read."""
     # A float32 more or less decides nothing here.
-    full = asking(q, largest)
-    score = full[:, :-1] @ x.T.astype(np.float32)
-    same = np.abs(full[:, :-1] @ (x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)).T.astype(np.float32) / largest - 1) < 1e-6
-    score[same] = -np.inf
-    take = min(k, len(x))
-    near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    full, take = asking(q, largest), min(k, len(x))
+    near, real = (np.empty((len(q), take), t) for t in (np.int64, bool))
+    length = np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(1)), 1e-300).astype(np.float32)
+    for lo in range(0, len(q), 32):
+        score = full[lo : lo + 32, :-1] @ x.T
+        score[np.abs(score / (length * np.float32(largest)) - 1) < 1e-6] = -np.inf
+        at = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        near[lo : lo + 32], real[lo : lo + 32] = at, np.isfinite(np.take_along_axis(score, at, 1))
     which, at = np.unique(near, return_inverse=True)
-    row, lists = lists_of_vectors(graph, x[which], largest)
+    row, lists = lists_of_vectors(graph, x[which].astype(np.float64), largest)
     d = np.sqrt(np.maximum(graph.norms[None] - 2 * full @ graph.points.T + (full**2).sum(1, keepdims=True), 0))
     d /= graph.reference(d)[:, None]
     own = np.full((len(which), REPLICAS), -1)
@@ -194,7 +196,7 @@ def fitted_ratio(graph: Graph, q: np.ndarray, x: np.ndarray, largest: float, k:
     own[row, nth] = lists
     own = own[at.reshape(near.shape)]
     needed = np.where(own >= 0, d[np.arange(len(q))[:, None, None], own], np.inf).min(2)
-    needed = needed[np.isfinite(np.take_along_axis(score, near, 1))]
+    needed = needed[real]
     return float(np.quantile(needed, AIM)) * (1 + 1e-6) if len(needed) else 1.0
 
 
@@ -358,7 +360,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     lists = len(graph.points)
     packs = int(min(lists, max(PACKS, kept.count() * REPLICAS // BLOCK)))
     some = [r[0] for r in asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).select("vec").collect()]
-    ratio = fitted_ratio(graph, np.frombuffer(b"".join(map(bytes, some)), dtype=kind).astype(np.float64).reshape(-1, dims), x[:, :-1].astype(np.float64), largest, k) if some else 1.0
+    ratio = fitted_ratio(graph, np.frombuffer(b"".join(map(bytes, some)), dtype=kind).astype(np.float64).reshape(-1, dims), x[:, :-1], largest, k) if some else 1.0
     sent = spark.sparkContext.broadcast(graph)
     shape, dealt_as = "id long, vec binary, pack int, lists binary", (kind, dims, lists, packs)
     posted = materialize(kept.select("id", "vec").mapInArrow(lambda it: _by_pack(it, lambda m: lists_of_vectors(sent.value, m, largest), *dealt_as), shape), "postings")

@@ -303,7 +303,7 @@ def test_index_is_selective():
             member[lo + row, lists] = True
         assert len(graph.points) >= 300 and member.any(1).all() and member.sum(1).max() <= ann.REPLICAS
         q = x[:200]
-        ratio = ann.fitted_ratio(graph, x[300:556], full[:, :-1].astype(float), largest, 20)
+        ratio = ann.fitted_ratio(graph, x[300:556], full[:, :-1], largest, 20)
         row, lists = ann.lists_of_queries(graph, q, largest, ratio, member.sum(0), 168)
         reads = np.zeros((len(q), len(graph.points)), bool)
         reads[row, lists] = True
