@@ -418,6 +418,118 @@ def test_language_model_scores(spark):
     assert lm.score_texts(documents(spark, [])).collect() == []
 
 
+def naive_scores(model, texts, train):
+    """Score of each text from the definition: one window after the other, one place after the other."""
+    p, out, counts, own = {k: v.astype(float) for k, v in model.p.items()}, [], {}, []
+    for k, t in enumerate(texts):
+        ids = [i for w in lower_words(t) for i in lm.encoder(model.ranks)[0].encode_ordinary(" " + w.decode())] + [model.end]
+        before, logs = [model.end, *ids[:-1]], []
+        for i in range(len(ids)):
+            # The window that scores place i.
+            j = 0 if i < lm.WINDOW else 1 + (i - lm.WINDOW) // lm.STRIDE
+            x = p["E"][model.row[before[j * lm.STRIDE : i + 1]]]
+            x = x + p["P"][: len(x)]
+            q, ks, v = x[-1] @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
+            a = np.exp(ks @ q / lm.WIDTH**0.5)
+            z = x[-1] + (a / a.sum()) @ v @ p["Wo"]
+            u = z + np.maximum(z @ p["W1"] + p["b1"], 0) @ p["W2"]
+            s = u @ p["Wc"] + p["bc"]
+            logs.append((s[model.kind[ids[i]]] - np.log(np.exp(s).sum())) / np.log(10) + model.share[model.kind[before[i]], ids[i]])
+        y, parts, start = np.array(ids), [], 0
+        with np.errstate(over="ignore"):
+            for e in lm.Segments(y, np.array([len(y) - 1]), model.segment).end:
+                parts.append((tuple(ids[start : e + 1]), sum(logs[start : e + 1])))
+                start = e + 1
+        assert start == len(ids)
+        for name, _ in parts if train[k] else ():
+            counts[name] = counts.get(name, 0) + 1
+        own.append(parts)
+    total = sum(counts.values())
+    for parts in own:
+        out.append(sum(np.log10((1 - lm.MIXED) * 10**a + lm.MIXED * max(0, counts.get(n, 0) - 1) / max(1, total)) if a > -250 or counts.get(n, 0) > 1 else np.log10(1 - lm.MIXED) + a for n, a in parts))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 8192])
+def test_language_model_against_its_definition(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "SEGMENT", 8)
+    monkeypatch.setattr(lm, "FREQUENT", frequent or 1)
+    monkeypatch.setattr(lm, "BATCH_CHARS", 3000)
+    monkeypatch.setattr(lm, "PLACES", 500)
+    monkeypatch.setattr(lm, "EVERY", 2)
+    rows = corpus(12, 60) + [(700, "a b " * 300, "aa", "s"), (701, "a b " * 300, "aa", "s")]
+    kept = {}
+    whole = lm.train
+
+    def trained(docs, vocabulary):
+        # Tasks get the values of this process.
+        kept["model"] = whole(docs, vocabulary)
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", trained)
+    out = lm.score_texts(documents(spark, rows)).collect()
+    model = kept["model"]
+    train = [d is None or zlib.crc32(str(d).encode()) % 7 != 2 for d, *_ in rows]
+    assert model.documents == sum(train)
+    want = naive_scores(model, [t for _, t, *_ in rows], train)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in out)
+    for (a, n, x), (b, m, y) in zip(got, sorted((str(d), len(lower_words(t)) + 1, w) for (d, t, *_), w in zip(rows, want))):
+        assert a == b and n == m and abs(x - y) < 1e-3 * max(1, abs(y)), (a, x, y)
+
+
+def test_language_model_learns(spark):
+    """Held-out texts get more than from counts of words; a text that the corpus repeats gets more than one it holds once."""
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i)}{chr(97 + i * 7 % 26)}" for i in range(26)]
+
+    def text(n):
+        at, out = rng.randrange(26), []
+        for _ in range(n):
+            at = (at * 3 + rng.choice([1, 1, 1, 2])) % 26
+            out.append(words[at])
+        return " ".join(out)
+
+    rows = [(i, text(120), "aa", "s") for i in range(400)]
+    rows += [(1000 + i, rows[2 * i][1], "aa", "s") for i in range(40)]
+    out = {r["doc_id"]: r for r in lm.score_texts(documents(spark, rows)).collect()}
+    per = lambda c, ids: np.array([out[i][c] / out[i]["n_tokens"] for i in ids])
+    held = [i for i in range(80, 400) if out[i]["held_out"]]
+    assert len(held) > 20 and per("score", held).mean() > per("base_score", held).mean() + 0.3
+    once = [i for i in range(80, 400) if not out[i]["held_out"]]
+    twice = [2 * i for i in range(40) if not out[2 * i]["held_out"] and not out[1000 + i]["held_out"]]
+    assert len(twice) > 20 and per("score", twice).min() > per("score", once).max()
+
+
+def test_segments():
+    """Equal runs of ids have equal keys wherever they stand, and others have others."""
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 500, 900)
+    parts = [np.concatenate([rng.integers(0, 500, k), same, rng.integers(0, 500, 5), [500]]) for k in (0, 1, 40, 333)]
+    with np.errstate(over="ignore"):
+        g = lm.Segments(np.concatenate(parts), np.cumsum([len(x) for x in parts]) - 1)
+    y, seen = np.concatenate(parts), {}
+    for a, e, k in zip(g.begin, g.end, g.ids):
+        assert seen.setdefault(tuple(y[a : e + 1]), k) == k
+    assert len(seen) == len(g.keys) and max(np.bincount(g.ids)) >= 4
+    with np.errstate(over="ignore"):
+        assert len(lm.Segments(np.array([7]), np.array([0])).keys) == 1
+
+
+def test_summing_frees_no_group(spark):
+    """Keys whose rows go over many batches of Arrow, and blocks of few places."""
+    import pyarrow as pa
+
+    class Sent:
+        value = type("M", (), {"segments": 10, "most": 50})
+
+    rows = [(b, b"w%d" % k, 1, np.array([b % 7], np.uint16).tobytes(), None) for k in range(40) for b in range(5)]
+    whole = lm._rows(0, [b"x"], np.zeros(1, np.int64), [b"\0\0"], None).schema
+    batches = [pa.RecordBatch.from_pylist([dict(zip(whole.names, r)) for r in rows[lo : lo + 3]], schema=whole) for lo in range(0, len(rows), 3)]
+    got = [r for b in lm._met(iter(batches), Sent) for r in b.to_pylist()]
+    assert sum(r["words"] for r in got) == 40 and sum(r["tokens"] for r in got) == 200
+    assert sum(np.frombuffer(r["logs"]).sum() for r in got if r["logs"]) == pytest.approx(200 * np.log10(6))
+
+
 def test_subword_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     kind = rng.integers(0, lm.CLASSES, 500)
