@@ -388,7 +388,10 @@ def test_language_model_gradient_and_windows():
         p[k][at] = old
         assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4, k
     p = lm.initial(30)
-    assert np.allclose(lm._states(p, x, 8), lm.forward(p, x)["U"][:, 8:], atol=1e-4)
+    for skip in (8, 0):
+        assert np.allclose(lm.Scorer(p).states(x, skip).reshape(3, -1, lm.WIDTH), lm.forward(p, x)["U"][:, skip:], atol=1e-4)
+    large = {k: v * (20 if k in ("Wq", "Wk") else 1) for k, v in p.items()}
+    assert np.allclose(lm.Scorer(large).states(x, 8).reshape(3, -1, lm.WIDTH), lm.forward(large, x)["U"][:, 8:], atol=1e-3)
     # A later id changes nothing before it.
     z = x.copy()
     z[:, 20:] = 0
