@@ -1,10 +1,11 @@
 """URL filters as a sort-merge range join, by DataFrame functions only.
 
-A host's key is the host reversed label by label, each label closed by a space
-(`com example www `), which sorts below every character of a host. The hosts
-that a rule fits, its own and all subdomains, so are an interval of keys: from
-its key up to, but not including, its key with `!` for the last space. Such
-intervals nest or are disjoint.
+A host's key is the host reversed label by label, each label closed by the
+character of code 0 (com0example0www0), which sorts below every other; where a
+label itself holds the characters of code 0 or 1, they are written as 1 1 and
+1 2. The hosts that a rule fits, its own and all subdomains, so are an interval
+of keys: from its key up to, but not including, its key with 1 for the last 0.
+Such intervals nest or are disjoint, whatever characters a host holds.
 
 Distinct host keys and the rules' keys are sorted together by range partitions
 and swept: each rule's key pushes the stack of the rules that hold there (its
@@ -13,7 +14,8 @@ takes the stack last pushed and pops what has ended before it. What a partition
 needs of those before it is the last stack that they pushed: one row each. Then
 urls take the stack of their host, and of its rules the longest whose path
 begins theirs. So the sweep costs what distinct hosts cost, and a host with a
-third of all urls is one row of it.
+third of all urls is one row of it. Hosts with more than one in HOT of all urls,
+of which there are fewer than HOT, are dealt over WAYS tasks in that join.
 
 Defined results: a null url, or one without `://`, has an empty host and path
 and no rule; so has an empty host; no rule fits an empty path; repeated rows
@@ -26,12 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, release
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: The verdict of urls that no rule fits.
 DEFAULT = "allow"
+HOT, WAYS = 64, 16
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,8 +53,9 @@ def host_and_path(url: str = "url") -> tuple[F.Column, F.Column]:
 
 
 def host_key(host: F.Column) -> F.Column:
-    """The host's labels from the last to the first, each closed by a space."""
-    return F.concat(F.array_join(F.reverse(F.split(host, "[.]")), " "), F.lit(" "))
+    """The host's labels from the last to the first, each closed by character 0."""
+    plain = F.replace(F.replace(host, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, "[.]")), "\x00"), F.lit("\x00"))
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def _stacks(rules: DataFrame) -> DataFrame:
     labels = F.split("host", "[.]")
     around = own.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("host"))
     held = around.join(own.select("host", "rules", F.col("key").alias("from")), "host")
-    level = F.struct("from", F.concat(F.expr("substring(`from`, 1, length(`from`) - 1)"), F.lit("!")).alias("to"), "rules")
+    level = F.struct("from", F.concat(F.expr("substring(`from`, 1, length(`from`) - 1)"), F.lit("\x01")).alias("to"), "rules")
     return held.groupBy("key").agg(F.sort_array(F.collect_list(level)).alias("stack"))
 
 
@@ -87,11 +91,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     host, path = host_and_path()
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     stacks = _stacks(rules.select(F.translate("host", _UPPER, _SMALL).alias("host"), "path", "verdict").filter("host <> '' AND path <> ''"))
-    swept = _swept(urls.filter("host <> ''").select("key").distinct(), stacks)
+    hosts = materialize(urls.filter("host <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("key").isin([r["key"] for r in hosts.filter(F.col("n") * HOT > total).select("key").collect()])
+    swept = _swept(hosts.select("key"), stacks)
     # Hosts under a rule only; the others need no stack.
     active = materialize(swept.filter("size(stack) > 0"), "stacks")
-    ways = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")
-    dealt = active.withColumn("way", F.explode(F.array(*[F.lit(i) for i in range(16)])))
+    release(hosts)
+    ways = F.when(hot, F.pmod(F.xxhash64("page_id", "path"), F.lit(WAYS)).cast("int")).otherwise(0)
+    dealt = active.withColumn("way", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))))
     both = urls.withColumn("way", ways).join(dealt, ["key", "way"], "left")
     fitting = F.filter(F.flatten(F.transform("stack", lambda x: x["rules"])), lambda r: F.startswith(F.col("path"), r["path"]))
     size = lambda r: F.length(r["host"]) + F.length(r["path"])

@@ -252,14 +252,16 @@ def brute_url(url, rules):
 
 def test_url_rules(spark):
     rng = random.Random(6)
-    hosts = ["com", "example.com", "EXAMPLE.com", "a.example.com", "www.example.com", "x.www.example.com", "badexample.com", "net", "a.net", "b.a.net", "org", "x-y.com", "x.com", "", ".com", "com."]
+    hosts = ["com", "example.com", "EXAMPLE.com", "a.example.com", "www.example.com", "x.www.example.com", "badexample.com", "net", "a.net", "b.a.net", "org", "x-y.com", "x.com", "", ".com", "com.", "net ", "a.net b", "example.com c", "net b", "c.net b", "zz.net", "net!x", "net\x00", "net\x01q", "a.net\x01", "net\t.com", "é.net", "net\x00.com", "com..net"]
     urls = [f"{rng.choice(['http', 'x'])}://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/x?y=/fr/", "/es/#a", "?q", "/fr", "#/en/", "/EN/")] + [None, "", "nothing", "a://b://c/", "mailto:x"]
-    rules = [*urlrules.RULES, ("a.net", "/", "block"), ("net", "/", "allow"), ("x.com", "/en/", "block")]
+    rules = [*urlrules.RULES, ("a.net", "/", "block"), ("net", "/", "allow"), ("x.com", "/en/", "block"), ("net b", "/", "block"), ("net\x01q", "/en/", "block"), ("net\x00", "/en/", "allow")]
+    urls += urls[:3] + ["http://hot.net/es/x"] * 300 + ["http://hot.net b/es/x"] * 200
     pages = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in enumerate(urls)] + [(None, urls[0], "", "", "")], "page_id long, url string, host string, path string, key string")
     for some in (urlrules.RULES, rules, []):
         out = urlrules.judge_urls(pages, spark.createDataFrame(some, "host string, path string, verdict string")).collect()
         want = [(i, *brute_url(u, some)) for i, u in [*enumerate(urls), (None, urls[0])]]
         assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+    assert urlrules.judge_urls(pages.limit(0), urlrules.rules_frame(spark)).collect() == []
 
 
 def test_vectors(spark):
