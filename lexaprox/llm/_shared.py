@@ -18,10 +18,13 @@ _own_dir: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session, or, where that is unset (a test on one machine), a temporary one."""
+    session. Where that is unset, a local session (a test) gets a temporary one;
+    a cluster's executors would not see it, so there it is an error."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lexaprox-"))
     return _own_dir[0]
@@ -50,6 +53,22 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Temporary:
+    """Tables of one computation, deleted together when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        self.tables.append(out)
+        return out
+
+    def clear(self) -> None:
+        release(*self.tables)
+        self.tables.clear()
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of an input never get further."""
     return df.select(*names)
@@ -92,6 +111,18 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, ways
     return left.join(right.hint("merge"), [*on, "_way"]).drop("_way")
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, size: str, salt: str, share: int = 128, ways: int = 16) -> DataFrame:
+    """Inner join of big with small, a written table of one row a key that says as
+    `size` how many rows of big it has. Keys with more than one in `share` of these
+    rows, of which there are fewer than `share`, are dealt over `ways` tasks by a
+    hash of big's column `salt`; the others are not repeated."""
+    total = small.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(key).isin([r[0] for r in small.filter(F.col(size) * share > total).select(key).collect()])
+    left = big.withColumn("_way", F.when(hot, F.pmod(F.xxhash64(salt), F.lit(ways)).cast("int")).otherwise(0))
+    right = small.withColumn("_way", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.hint("merge"), [key, "_way"]).drop("_way")
+
+
 LOCAL_EDGES = 200_000
 
 

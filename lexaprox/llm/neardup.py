@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, components, lower_words, materialize, mix64, release, text_batches
+from ._shared import Temporary, chunks, components, lower_words, materialize, mix64, release, spread_join, text_batches
 
 #: Minwise values of a document.
 POSITIONS = 64
@@ -276,12 +276,14 @@ def _children(node: str, depth: int, chosen: int, levels: int = 1) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
+    """Rows (doc_id, n_shingles, component_id, kept, text_hash, first), one for each row of docs.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over
     their whole shingle sets; component_id is the smallest doc_id reachable over
-    links and kept tells whether it is the document's own. See the module's text
-    for nulls, empty texts and repeated rows."""
+    links and kept tells whether it is the document's own. first marks one document
+    of each component, the one with the smallest (doc_id, text_hash), null ids last,
+    and its repeated rows; (doc_id, text_hash) names a row among those with one
+    doc_id. See the module's text for nulls, empty texts and repeated rows."""
     if not 1 <= width <= len(_MUL):
         raise ValueError(f"width must be 1 to {len(_MUL)}")
     text_batches(docs.sparkSession)
@@ -293,64 +295,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("cid IS NOT NULL").groupBy("cid").agg(one).select("cid", "one.doc_id", "one.h", F.col("one.n_shingles").alias("n"), "one.sig", "one.brief")
     # Written, so the numbers stay.
     classes = materialize(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
-    part = _parts(_links(base, classes, width, percent, trees))
+    tmp = Temporary()
+    links = _links(base, classes, width, percent, trees)
+    part = _parts(links, tmp)
     # A component's name is the smallest doc_id of all its classes.
-    own = classes.select("k", "cid", "doc_id").join(part.withColumnRenamed("node", "k").hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    own = materialize(own, "roots")
-    name = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = own.join(name.hint("merge"), "root").select("cid", "component_id")
-    # A class is as large as its group of copies; the join has no key but this, so its large partitions can be split.
-    words = signed.filter("cid IS NOT NULL").select("doc_id", "cid", "n_shingles").join(label.hint("merge"), "cid")
-    out = words.select("doc_id", "n_shingles", "component_id").union(signed.filter("cid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own = classes.select("k", "cid", "doc_id", "h").join(part.withColumnRenamed("node", "k").hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    own = tmp(own, "roots")
+    # Its first row: the smallest (doc_id, text hash), null ids last.
+    name = own.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("first"))
+    label = own.join(name.hint("merge"), "root").select("cid", "component_id", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
+    copies = materialize(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.count(F.lit(1)).alias("copies")).join(label.hint("merge"), "cid"), "labels")
+    tmp.clear()
+    release(classes)
+    words = spread_join(signed.filter("cid IS NOT NULL").select("doc_id", "h", "cid", "n_shingles"), copies, "cid", "copies", "doc_id")
+    own_row = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    out = words.select("doc_id", "n_shingles", "component_id", F.col("h").alias("text_hash"), own_row.alias("first"))
+    out = out.union(signed.filter("cid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("h").alias("text_hash"), F.lit(True).alias("first")))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "first")
 
 
 def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect each component."""
-    p = percent / 100
+    p, tmp = percent / 100, Temporary()
     # A pair at the threshold agrees in percent of the positions; five deviations below, it is out.
     least = max(0, int(POSITIONS * p - 5 * (POSITIONS * p * (1 - p)) ** 0.5))
     root, deep = branching(percent, trees)
     roots = F.expr(f"explode(transform(sequence(1, {trees}), t -> xxhash64('tree', t)))")
-    nodes = materialize(classes.select("k", "sig", roots.alias("root")).select("k", _children("root", 0, root).alias("node")), "nodes")
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).filter("size > 1")
-    rows = materialize(nodes.join(sizes.hint("merge"), "node"), "grown")
-    release(nodes)
+    nodes = tmp(classes.select("k", "sig", roots.alias("root")).select("k", _children("root", 0, root).alias("node")), "nodes")
+    sizes = tmp(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).filter("size > 1"), "sizes")
+    rows = tmp(spread_join(nodes, sizes, "node", "size", "k"), "grown")
     # The same documents have the same first one in every tree, so there are few pairs. One for each document:
-    near = _near(rows.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), classes, percent, least)
+    near = _near(rows.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), classes, percent, least, tmp)
     best = near.groupBy("b").agg(F.max("agree").alias("agree")).join(near.hint("merge"), ["b", "agree"]).groupBy("b").agg(F.min("a").alias("a"))
-    links = _confirmed(best.select("a", "b"), base, classes, width, percent)
-    part = _parts(links)
+    links = _confirmed(best.select("a", "b"), base, classes, width, percent, tmp)
+    part = _parts(links, tmp)
     rows = rows.join(part.select(F.col("node").alias("k"), "root").hint("merge"), "k", "left").select("node", "k", F.coalesce("root", "k").alias("comp"))
-    small = _descended(rows, classes, deep)
+    small = _descended(rows, classes, deep, tmp)
     briefs = small.join(classes.select("k", "brief").hint("merge"), "k").select("node", "k", "comp", "brief").repartition("node").sortWithinPartitions("node")
-    kept = materialize(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
+    kept = tmp(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
     sets = _with_sets(kept, base, classes, width).repartition("node").sortWithinPartitions("node")
     more = materialize(sets.mapInArrow(lambda it: _joining(it, percent), "a long, b long"), "more-links")
-    release(kept)
+    tmp.clear()
     return links.union(more)
 
 
-def _descended(rows: DataFrame, classes: DataFrame, deep: int) -> DataFrame:
+def _descended(rows: DataFrame, classes: DataFrame, deep: int, tmp: Temporary) -> DataFrame:
     """From rows (node, k, comp) those of nodes with more than one component, large
     ones branched (unless deep is 0), and at last dealt into pairs of blocks."""
     small, depth = None, 1
     branchings = BRANCHINGS if deep else 0
     join = lambda a, b: b if a is None else a.union(b)
     for k in range(branchings + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("size > 1 AND least < most")
-        rows = materialize(rows.join(sizes.select("node", "size").hint("merge"), "node"), "open")
+        sizes = tmp(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("size > 1 AND least < most").select("node", "size"), "sizes")
+        rows = tmp(spread_join(rows, sizes, "node", "size", "k"), "open")
         small = join(small, rows.filter(f"size <= {NODE_LIMIT}").select("node", "k", "comp"))
         many = rows.filter(f"size > {NODE_LIMIT}").select("node", "k", "comp")
         if not many.limit(1).count():
             return small
         if k < branchings:
-            rows, depth = materialize(_branched(many, classes, depth, deep), "nodes"), depth + LEVELS
+            rows, depth = tmp(_branched(many, classes, depth, deep), "nodes"), depth + LEVELS
     main = many.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
     half = NODE_LIMIT // 2
     blocks = lambda n: F.ceil(n / half).cast("int")
-    main = main.select("node", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("all")).alias("blocks"))
-    dealt = many.join(main.hint("merge"), "node")
+    main = main.select("node", "all", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("all")).alias("blocks"))
+    dealt = spread_join(many, tmp(main, "main"), "node", "all", "k")
     own = lambda c, salt: F.pmod(F.xxhash64("k", F.lit(salt)), F.col(c)).cast("int")
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # A pair of blocks is named by both; documents outside the main component are in some of either kind.
@@ -380,25 +389,29 @@ def _branched(rows: DataFrame, classes: DataFrame, depth: int, deep: int) -> Dat
     return rows.join(classes.select("k", "sig").hint("merge"), "k").select("k", "comp", _children("node", depth, deep, LEVELS).alias("node"))
 
 
-def _parts(links: DataFrame) -> DataFrame:
+def _parts(links: DataFrame, tmp: Temporary) -> DataFrame:
     """(node, root) of all classes with a link, roots included."""
     part = components(links)
-    return materialize(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
+    tmp.tables.append(part)
+    return tmp(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, least: int, tmp: Temporary) -> DataFrame:
     """(a, b, agree): pairs that neither their sizes nor their minwise values keep apart."""
     side = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("brief").alias(f"brief_{c}")).hint("merge")
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return materialize(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long, agree int"), "near")
+    pairs = tmp(pairs, "first-pairs")
+    # The first one of a large group of near copies is in a pair with each.
+    firsts = tmp(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("all")).join(side("a"), "a"), "firsts")
+    pairs = spread_join(pairs, firsts, "a", "all", "b").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return tmp(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long, agree int"), "near")
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int, tmp: Temporary) -> DataFrame:
     """Those pairs that are links. A pair's second set goes to the first one's
     task, BLOCK to each, with a copy of the first."""
-    pairs = materialize(pairs, "pairs")
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways"))
-    member = pairs.join(hubs.hint("merge"), "a").select(F.col("b").alias("k"), F.col("a").alias("hub"), F.lit(1).alias("role"), F.lit(1).alias("ways"), F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way"))
+    pairs = tmp(pairs, "pairs")
+    hubs = tmp(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("all"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways")), "hubs")
+    member = spread_join(pairs, hubs, "a", "all", "b").select(F.col("b").alias("k"), F.col("a").alias("hub"), F.lit(1).alias("role"), F.lit(1).alias("ways"), F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way"))
     hub = hubs.select(F.col("a").alias("k"), F.col("a").alias("hub"), F.lit(0).alias("role"), "ways", F.lit(0).alias("way"))
     sets = _with_sets(member.union(hub), base, classes, width)
     every = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("ways") - 1)).otherwise(F.array("way")))
