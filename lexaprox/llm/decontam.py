@@ -9,7 +9,9 @@ word. Items of fewer words are one span of their own length.
 
 The fingerprints of the items are sent to the tasks while their texts have at
 most LOCAL_CHARS characters, which is checked; beyond, documents and items are
-joined on the fingerprint by a shuffle. Both ways give the same rows.
+joined on the fingerprint by a shuffle, common fingerprints dealt over tasks, and
+each document's text meets the items that share one with it. Both ways give the
+same rows.
 
 Defined results: a null or blank text has no words; a document is judged as a
 whole, however long; repeated rows are repeated; an empty benchmark hits
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, materialize, mix64, text_batches
+from ._shared import chunks, materialize, mix64, release, salted_join, spread_join, text_batches
 
 SPAN, GRAM = 10, 5
 #: Items of up to so many characters in all are sent to every task.
@@ -114,6 +116,7 @@ def _among(have: np.ndarray, sorted_marks: np.ndarray) -> np.ndarray:
 def _judge(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
+            at = 0
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = []
                 for i, t in zip(ids, texts):
@@ -121,7 +124,10 @@ def _judge(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
                     hit, found = items.hits(words, _hashed(words))
                     names = sorted(str(x) for x in found if x is not None)
                     out.append((i, len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                judged = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+                rest = [batch.column(c).slice(at, len(out)) for c in batch.schema.names[2:]]
+                at += len(out)
+                yield pa.RecordBatch.from_arrays([*judged, *rest], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]])
 
 
 def _marks(batches: Iterator[pa.RecordBatch], lengths: list[int], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -139,32 +145,28 @@ def _marks(batches: Iterator[pa.RecordBatch], lengths: list[int], whole: bool) -
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs: the places of the words hit, and the item."""
+    """Of texts with the items that they may hold: how many words are hit, and by which."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            for k, t, item, it in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "item_id", "item_text"))):
-                words, one = item_words(t), Items([(item, it)])
-                h = _hashed(words)
-                hit = np.zeros(len(words), dtype=bool)
-                for n, have, marks in [(n, grams(h, n), m) for n, m in one.short.items()] + [(SPAN, winnow(h), one.marks)] * bool(len(one.marks)):
-                    for i in np.flatnonzero(_among(have, marks)).tolist():
-                        if b" ".join(words[i : i + n]) in one.spans:
-                            hit[i : i + n] = True
-                at = np.flatnonzero(hit)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.binary()), pa.array([item] * len(at), pa.int64()), pa.array(at)], names=["key", "item_id", "place"])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, local_chars: int = LOCAL_CHARS) -> DataFrame:
+            for k, t, rows in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "items"))):
+                words = item_words(t)
+                hit, found = Items([(x["item_id"], x["item_text"]) for x in rows]).hits(words, _hashed(words))
+                if hit:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), pa.array([hit], pa.int64()), pa.array([sorted(str(x) for x in found if x is not None)], pa.list_(pa.string()))], names=["key", "n_hit", "names"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, local_chars: int = LOCAL_CHARS, keep: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for
-    each of docs (doc_id, text), against benchmark (item_id, text)."""
+    each of docs (doc_id, text), against benchmark (item_id, text). Columns of docs
+    named in keep come with their row, as fields of a struct named row."""
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_text IS NOT NULL")
     if (bench.agg(F.sum(F.length("item_text") + 8)).first()[0] or 0) <= local_chars:
         items = spark.sparkContext.broadcast(Items([tuple(r) for r in bench.collect()]))
-        return docs.mapInArrow(lambda it: _judge(it, items.value), OUT)
+        return docs.mapInArrow(lambda it: _judge(it, items.value), OUT + (f", row {docs.schema['row'].dataType.simpleString()}" if keep else ""))
     return _by_shuffle(docs, bench)
 
 
@@ -174,17 +176,24 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
     key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     texts = docs.filter("text IS NOT NULL").select(key.alias("key"), "text")
     named = bench.select(F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("item_id").cast("string"), F.lit("")), "item_text").cast("binary"))).alias("item_key"), "item_id", "item_text").filter("item_text IS NOT NULL")
-    lengths = [n for n in range(1, SPAN)]
-    doc_marks = texts.mapInArrow(lambda it: _marks(it, lengths, False), "key binary, mark long")
     item_marks = materialize(named.select("item_key", "item_text").mapInArrow(lambda it: _marks(it, [], True), "key binary, mark long"), "item-marks").withColumnRenamed("key", "item_key")
-    pairs = doc_marks.join(item_marks, "mark").select("key", "item_key").distinct()
-    both = pairs.join(texts.groupBy("key").agg(F.min("text").alias("text")), "key").join(named, "item_key").select("key", "text", "item_id", "item_text")
-    places = materialize(both.mapInArrow(_extend, "key binary, item_id long, place long"), "places")
-    hit = places.groupBy("key").agg(F.countDistinct("place").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("names"))
-    counted = docs.select("doc_id", key.alias("key"), _counted(F.col("text")).alias("n_words"))
+    # Grams of documents are needed of those lengths only that items have: 1 to SPAN - 1.
+    lengths = sorted(r[0] for r in named.select(_counted(F.col("item_text")).alias("n")).filter(f"n BETWEEN 1 AND {SPAN - 1}").distinct().collect())
+    doc_marks = texts.mapInArrow(lambda it: _marks(it, lengths, False), "key binary, mark long")
+    # Documents' marks that no item has stay out before the join; those of a common passage are dealt out.
+    wanted = materialize(item_marks.groupBy("mark").agg(F.count(F.lit(1)).alias("items")), "wanted")
+    met = materialize(salted_join(doc_marks, wanted, ["mark"], "key", 8).select("key", "mark"), "met")
+    rows = materialize(met.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).join(item_marks.groupBy("mark").agg(F.collect_set("item_key").alias("item_keys")).hint("merge"), "mark"), "marks")
+    pairs = spread_join(met, rows, "mark", "rows", "key").select("key", F.explode("item_keys").alias("item_key")).distinct()
+    # A document's text comes once, with all the items that it may hold.
+    held = pairs.join(named.hint("merge"), "item_key").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    both = texts.groupBy("key").agg(F.min("text").alias("text")).join(held.hint("merge"), "key").select("key", "text", "items")
+    hit = materialize(both.mapInArrow(_extend, "key binary, n_hit long, names array<string>"), "hit")
+    release(wanted, met, rows)
+    counted = docs.select("doc_id", key.alias("key"), _counted(F.col("text")).alias("n_words"), *(["row"] if "row" in docs.columns else []))
     names = F.coalesce(F.col("names"), F.array().cast("array<string>"))
     return counted.join(hit, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *(["row"] if "row" in docs.columns else []))
 
 
 def _counted(text: F.Column) -> F.Column:

@@ -47,17 +47,20 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repe
     return t.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * level)).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), keep: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each of docs.
 
     size is the number of words, target the source's share (source_targets),
     taken the words that the mix takes of the document, all its repeats counted.
     A source's taken words differ from its target by half a document at most,
-    that being the one at the threshold."""
+    that being the one at the threshold. Columns of docs named in keep come with
+    their row, as fields of a struct named row."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     text = F.coalesce(F.col("text"), F.lit(""))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text)
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("key"), F.expr(f"CAST(regexp_count(coalesce(text, ''), '{WORD}') AS LONG)").alias("size"), F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long").alias("h")), "sized")
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("key"), F.expr(f"CAST(regexp_count(coalesce(text, ''), '{WORD}') AS LONG)").alias("size"), F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), *row)
+    sized = materialize(every.drop("row"), "sized")
     totals = sized.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights)
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(REPEATS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
@@ -84,4 +87,5 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFr
     cut = plan.join(stop, "key", "left")
     whole = F.col("below").isNull() & (F.col("budget") > 0)
     extra = F.when(whole | (F.col("h") < F.col("below")), F.col("size")).otherwise(0)
-    return sized.join(cut, "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"))
+    # Rows with their texts are read again: that costs less than to write them with their sizes.
+    return (every if keep else sized).join(cut, "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"), *(["row"] if keep else []))

@@ -53,3 +53,23 @@ def test_run_and_empty(spark, folder):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_rows_with_one_id(spark, folder):
+    """Repeated ids, null ids, nulls and empty texts: each row is judged for itself."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("aeiortnsl") for _ in range(5)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(1, a, "x", "s", 1), (1, a, "x", "s", 1), (1, a, "y", None, 1), (2, a, "x", "s", 1), (1, b, "x", "t", 1), (None, c, "x", "s", 1), (None, c, None, "s", 1), (None, text(), "x", "s", 1), (3, None, None, None, None), (3, None, None, None, None), (4, "", "x", "s", 0), (None, None, "x", "s", 0), (5, "y " + item, "x", "s", 1), (5, text(), "x", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.near(spark, docs, folder).collect()]
+    texts = [t for _, t, *_ in left if t]
+    assert len(texts) == len(set(texts)) == 6 and sum(not t for _, t, *_ in left) == 4
+    assert (1, a) in {x[:2] for x in left} and len([x for x in left if x[1] == a]) == 1
+    left = [tuple(r) for r in corpus_pipeline.decontaminated(spark, docs, folder).collect()]
+    assert sorted(map(str, left)) == sorted(str(x) for x in rows if not (x[1] or "").startswith("y "))
+    out = corpus_pipeline.mixed(spark, docs, folder)
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert all(got.count(x) <= rows.count(x) for x in got) and out.columns == [*corpus_pipeline.COLUMNS, "taken", "target"]
+    assert not any(x[1] in (None, "") for x in got)
