@@ -4,15 +4,16 @@ Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept,
 and returns the columns of documents; the last one also says how many words the
 mix takes of each. run() writes each stage's rows to the shared folder and reads
 them again as the next one's docs. A stage's input can be empty; nulls are
-treated as its operator says.
+treated as its operator says. Decisions are made by row: rows with one doc_id
+and different texts are different documents, and so are rows with a null doc_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaprox.llm._shared import materialize
+from lexaprox.llm._shared import materialize, release
 from lexaprox.llm.decontam import decontaminate
 from lexaprox.llm.linededup import dedup_lines
 from lexaprox.llm.mixing import mix_sources
@@ -36,22 +37,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest
+    (doc_id, hash of the text), null ids last; of its repeated rows the first in
+    the order of the other columns. Texts without words are in no group and stay."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at"), F.col("doc_id").isNull().alias("_no")]
+    first = near_duplicates(docs, percent=80).filter("first").select(*key, F.col("text_hash").alias("_h"), (F.col("n_shingles") > 0).alias("_words")).distinct()
+    both = docs.select(*COLUMNS, *key, F.xxhash64("text").alias("_h")).join(first.hint("merge"), ["_at", "_no", "_h"])
+    turn = F.row_number().over(Window.partitionBy("_at", "_no", "_h").orderBy("lang", "source", "n_chars"))
+    return both.withColumn("_turn", turn).filter("_turn = 1 OR NOT _words").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a span of a benchmark item."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Documents without a span of a benchmark item, each row judged for itself."""
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    return judged.filter("NOT contaminated").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: taken words, repeats counted, of each."""
-    taken = mix_sources(docs).filter("taken > 0").select("doc_id", "taken", "target").distinct()
-    own = docs.select(*COLUMNS)
-    return own.join(taken, own["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"]).select(*COLUMNS, "taken", "target")
+    """The documents of the mix: taken words, repeats counted, of each row."""
+    return mix_sources(docs, keep=COLUMNS).filter("taken > 0").select("row.*", "taken", "target")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", decontaminated), ("mixing", mixed)]
@@ -62,5 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return docs
