@@ -74,7 +74,7 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def chunks(ids: list, texts: list, limit: int = 1 << 21):
+def chunks(ids: list, texts: list, limit: int = 1 << 19):
     """Deal rows into lists of about limit characters; a longer text comes alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -117,7 +117,10 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, size: str, salt: str
     rows, of which there are fewer than `share`, are dealt over `ways` tasks by a
     hash of big's column `salt`; the others are not repeated."""
     total = small.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(key).isin([r[0] for r in small.filter(F.col(size) * share > total).select(key).collect()])
+    large = [r[0] for r in small.filter((F.col(size) * share > total) & (F.col(size) > 100)).select(key).collect()]
+    if not large:
+        return big.join(small.hint("merge"), key)
+    hot = F.col(key).isin(large)
     left = big.withColumn("_way", F.when(hot, F.pmod(F.xxhash64(salt), F.lit(ways)).cast("int")).otherwise(0))
     right = small.withColumn("_way", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right.hint("merge"), [key, "_way"]).drop("_way")

@@ -44,7 +44,7 @@ from ._shared import Temporary, chunks, components, lower_words, materialize, mi
 #: Minwise values of a document.
 POSITIONS = 64
 #: Nodes of up to so many documents are compared exhaustively.
-NODE_LIMIT = 512
+NODE_LIMIT = 2048
 TREES = 10
 #: Open nodes that are larger branch so often, some levels at a time.
 BRANCHINGS, LEVELS = 2, 3
@@ -195,7 +195,7 @@ def _promising(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 def common(sets: list[np.ndarray], at_once: int = 1 << 23) -> np.ndarray:
     """The sizes of the intersections of different sets, a few items at a time."""
     n = len(sets)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((n, n), np.int32)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     items, place = np.unique(np.concatenate(sets), return_inverse=True)
     shared = np.bincount(place) > 1
@@ -207,7 +207,7 @@ def common(sets: list[np.ndarray], at_once: int = 1 << 23) -> np.ndarray:
         a, b = np.searchsorted(place, [lo, lo + step])
         has = np.zeros((n, min(step, int(shared.sum()) - lo)), np.float32)
         has[owner[a:b], place[a:b] - lo] = 1
-        out += (has @ has.T).astype(np.int64)
+        out += (has @ has.T).astype(np.int32)
     return out
 
 
@@ -218,7 +218,9 @@ def _joining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         pick = list({x: i for i, x in enumerate(k)}.values())
         sets = [np.frombuffer(items[i], np.uint64) for i in pick]
         n, both = np.array([len(x) for x in sets]), common(sets)
-        i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1))
+        # A row of the matrix at a time: at most NODE_LIMIT numbers.
+        found = [np.flatnonzero(100 * both[x, x + 1 :].astype(np.int64) >= percent * (n[x] + n[x + 1 :] - both[x, x + 1 :])) + x + 1 for x in range(len(n))]
+        i, j = np.repeat(np.arange(len(n)), [len(x) for x in found]), np.concatenate(found)
         up = {comp[p]: comp[p] for p in pick}
 
         def top(x):
@@ -329,15 +331,34 @@ def _links(base: DataFrame, classes: DataFrame, width: int, percent: int, trees:
     near = _near(rows.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), classes, percent, least, tmp)
     best = near.groupBy("b").agg(F.max("agree").alias("agree")).join(near.hint("merge"), ["b", "agree"]).groupBy("b").agg(F.min("a").alias("a"))
     links = _confirmed(best.select("a", "b"), base, classes, width, percent, tmp)
-    part = _parts(links, tmp)
-    rows = rows.join(part.select(F.col("node").alias("k"), "root").hint("merge"), "k", "left").select("node", "k", F.coalesce("root", "k").alias("comp"))
-    small = _descended(rows, classes, deep, tmp)
+    rows = _with_components(rows.select("node", "k"), _parts(links, tmp))
+    more = _compared(_descended(rows, classes, deep, tmp), base, classes, width, percent, least, tmp)
+    tmp.clear()
+    return links.union(more)
+
+
+def _with_components(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """rows with the component of each one's k by the links so far as comp."""
+    return rows.join(part.select(F.col("node").alias("k"), "root").hint("merge"), "k", "left").select(*rows.columns, F.coalesce("root", "k").alias("comp"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(node, size) of nodes with more than one component."""
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("node", "size")
+
+
+def _mains(rows: DataFrame) -> DataFrame:
+    """(node, all, main, n): each node's documents, its largest component and that one's documents."""
+    most = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    return most.select("node", "all", F.col("m.comp").alias("main"), F.col("m.n").alias("n"))
+
+
+def _compared(small: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int, least: int, tmp: Temporary) -> DataFrame:
+    """Links between components of the nodes (node, k, comp), each compared exhaustively."""
     briefs = small.join(classes.select("k", "brief").hint("merge"), "k").select("node", "k", "comp", "brief").repartition("node").sortWithinPartitions("node")
     kept = tmp(briefs.mapInArrow(lambda it: _promising(it, least), "node long, k long, comp long"), "promising")
     sets = _with_sets(kept, base, classes, width).repartition("node").sortWithinPartitions("node")
-    more = materialize(sets.mapInArrow(lambda it: _joining(it, percent), "a long, b long"), "more-links")
-    tmp.clear()
-    return links.union(more)
+    return materialize(sets.mapInArrow(lambda it: _joining(it, percent), "a long, b long"), "more-links")
 
 
 def _descended(rows: DataFrame, classes: DataFrame, deep: int, tmp: Temporary) -> DataFrame:
@@ -347,7 +368,7 @@ def _descended(rows: DataFrame, classes: DataFrame, deep: int, tmp: Temporary) -
     branchings = BRANCHINGS if deep else 0
     join = lambda a, b: b if a is None else a.union(b)
     for k in range(branchings + 1):
-        sizes = tmp(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("size > 1 AND least < most").select("node", "size"), "sizes")
+        sizes = tmp(_open(rows), "sizes")
         rows = tmp(spread_join(rows, sizes, "node", "size", "k"), "open")
         small = join(small, rows.filter(f"size <= {NODE_LIMIT}").select("node", "k", "comp"))
         many = rows.filter(f"size > {NODE_LIMIT}").select("node", "k", "comp")
@@ -355,18 +376,23 @@ def _descended(rows: DataFrame, classes: DataFrame, deep: int, tmp: Temporary) -
             return small
         if k < branchings:
             rows, depth = tmp(_branched(many, classes, depth, deep), "nodes"), depth + LEVELS
-    main = many.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    return small.union(_blocks(many, tmp(_mains(many), "mains"), tmp))
+
+
+def _blocks(many: DataFrame, mains: DataFrame, tmp: Temporary) -> DataFrame:
+    """Pairs of blocks, as nodes, of the documents of those nodes that mains has:
+    those outside a node's main component meet all."""
     half = NODE_LIMIT // 2
-    blocks = lambda n: F.ceil(n / half).cast("int")
-    main = main.select("node", "all", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("all")).alias("blocks"))
-    dealt = spread_join(many, tmp(main, "main"), "node", "all", "k")
+    number = lambda n: F.ceil(n / half).cast("int")
+    mains = tmp(mains.select("node", "all", "main", number(F.col("all") - F.col("n")).alias("others"), number(F.col("all")).alias("blocks")), "block-numbers")
+    dealt = spread_join(many, mains, "node", "all", "k")
     own = lambda c, salt: F.pmod(F.xxhash64("k", F.lit(salt)), F.col(c)).cast("int")
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # A pair of blocks is named by both; documents outside the main component are in some of either kind.
     first = dealt.filter("comp <> main").withColumn("i", own("others", 1)).withColumn("j", F.explode(each("blocks")))
     second = dealt.withColumn("j", own("blocks", 2)).withColumn("i", F.explode(each("others")))
     pairs = first.select("node", "k", "comp", "i", "j").union(second.select("node", "k", "comp", "i", "j")).distinct()
-    return small.union(pairs.select(F.xxhash64("node", "i", "j").alias("node"), "k", "comp"))
+    return pairs.select(F.xxhash64("node", "i", "j").alias("node"), "k", "comp")
 
 
 def _with_sets(rows: DataFrame, base: DataFrame, classes: DataFrame, width: int) -> DataFrame:
