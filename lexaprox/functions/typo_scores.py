@@ -14,10 +14,19 @@ from .layout import LAYOUTS
 
 _F = np.float32
 BOARDS = ("qwerty", "azerty", "qwertz")
-#: Groups of letters with codes side by side, by keyboard.
-GROUPS = {"qwerty": "aeiou sdf jkl qwrt yp bvg cxz nm h", "azerty": "aeiou qsdf jklm azrt yp bvg cxw n h", "qwertz": "aeiou sdf jkl qwrt zp bvg cxy nm h"}
-#: Keys of one finger that do not touch.
-FINGERS = {"qwerty": "ec rv tb yn um ik wx qz", "azerty": "ec rv tb yn um zx aw", "qwertz": "ec rv tb zn um ik wx qy"}
+# Groups of letters with codes side by side, by keyboard.
+GROUPS = {
+    "qwerty": ["aeiou", "sdf", "jkl", "qwrt", "yp", "bvg", "cxz", "nm", "h"],
+    "azerty": ["aeiou", "qsdf", "jklm", "azrt", "yp", "bvg", "cxw", "n", "h"],
+    "qwertz": ["aeiou", "sdf", "jkl", "qwrt", "zp", "bvg", "cxy", "nm", "h"],
+}
+# Keys of one finger that do not touch.
+FINGERS = {
+    "qwerty": [("e", "c"), ("r", "v"), ("t", "b"), ("y", "n"), ("u", "m"), ("i", "k"), ("w", "x"), ("q", "z")],
+    "azerty": [("e", "c"), ("r", "v"), ("t", "b"), ("y", "n"), ("u", "m"), ("z", "x"), ("a", "w")],
+    "qwertz": [("e", "c"), ("r", "v"), ("t", "b"), ("z", "n"), ("u", "m"), ("i", "k"), ("w", "x"), ("q", "y")],
+}
+# End of fixed values.
 
 
 @cache
@@ -41,7 +50,7 @@ def confusion(board: str) -> np.ndarray:
     if board == "qwerty":
         for a, b in zip(rows[1], rows[2]):
             put(a, b, 0.4)
-    for a, b in FINGERS[board].split():
+    for a, b in FINGERS[board]:
         put(a, b, 0.3)
     return out
 
@@ -59,7 +68,7 @@ def codes(board: str) -> np.ndarray:
     """A code for each byte: letters by group, each group from a multiple of
     eight (the first from one), digits last, all else zero."""
     table, code = np.zeros(256, dtype=np.uint8), 1
-    for group in GROUPS[board].split():
+    for group in GROUPS[board]:
         for i, c in enumerate(group):
             table[[ord(c), ord(c.upper())]] = code + i
         code = (code + len(group) + 7) // 8 * 8
