@@ -1,53 +1,118 @@
 """One query against many terms at once.
 
-Terms are held by length, as matrices of code points and of symbol counts. For a
-query the counts leave those terms that have not too many symbols too much on
-either side; these fill their distance matrices together, a term's symbol after
+Terms are held by length, as matrices of code points and of symbol counts, and as
+bits of the classes of their symbols. For a query the bits, then the counts, leave
+those terms that have not too many symbols too much on either side; these fill
+their distance matrices together, a term's symbol after
 another, and a term goes as soon as no end within the budget is left."""
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 from .costs import CostModel
 from .distance import FAR, _adjacency, _codes
+from .layout import neighbours
 
 
 class TermBlock:
-    """Terms (id, norm, weight) for scanning."""
+    """Terms (id, norm, weight) for scanning, in the order of their length."""
 
     def __init__(self, ids, norms: list[str], weights):
-        ids, weights = np.asarray(ids, dtype=np.int64), np.asarray(weights, dtype=np.int64)
         n = np.fromiter(map(len, norms), dtype=np.int64, count=len(norms))
-        self.by_length: dict[int, tuple] = {}
-        for length in np.unique(n).tolist():
-            at = np.flatnonzero(n == length)
-            codes = _codes([norms[i] for i in at])[0].astype(np.int32)
-            counts = np.zeros((len(at), 32), dtype=np.int8)
-            for j in range(min(length, 127)):
-                counts[np.arange(len(at)), codes[:, j] & 31] += 1
-            self.by_length[length] = ids[at], codes, counts, weights[at]
+        order = np.argsort(n, kind="stable")
+        self.ids, self.weights = np.asarray(ids, dtype=np.int64)[order], np.asarray(weights, dtype=np.int64)[order]
+        self.lengths, self.begin = np.unique(n[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(order))
+        self.codes, self.masks = [], np.zeros(len(order), np.uint64)
+        # Counts of symbols, of a length at a time.
+        self.counts = []
+        for length, lo, hi in zip(self.lengths.tolist(), self.begin, self.end):
+            codes = _codes([norms[i] for i in order[lo:hi]])[0].astype(np.int32)
+            counts = np.zeros((hi - lo, 32), dtype=np.int8)
+            for j in range(length):
+                if j < 127:
+                    counts[np.arange(hi - lo), codes[:, j] & 31] += 1
+                self.masks[lo:hi] |= _bits(codes[:, j])
+            self.codes.append(codes)
+            self.counts.append(counts)
+        self.near: dict[str, np.ndarray] = {}
+
+    def _near(self, layout: str) -> np.ndarray:
+        """Of each term: the classes of the keys that touch one of its symbols."""
+        if layout not in self.near:
+            touched, out = _touched(layout), np.zeros(len(self.ids), np.uint64)
+            for codes, lo, hi in zip(self.codes, self.begin, self.end):
+                for j in range(codes.shape[1]):
+                    out[lo:hi] |= touched[np.minimum(codes[:, j], len(touched) - 1)]
+            self.near[layout] = out
+        return self.near[layout]
 
     def search(self, q: str, budget: int, cm: CostModel, prefix: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, costs, weights) of all terms within the budget."""
         m, band, most = len(q), budget // cm.c_indel_min, budget // cm.c_min
         code = np.array([ord(c) for c in q], dtype=np.int32)
         own = np.bincount(code & 31, minlength=32).clip(0, 127).astype(np.int8) if m else np.zeros(32, np.int8)
+        first = int(np.searchsorted(self.lengths, m - band))
+        last = len(self.lengths) if prefix else int(np.searchsorted(self.lengths, m + band, side="right"))
+        if first >= last:
+            return (np.empty(0, np.int64),) * 3
+        lo, hi = self.begin[first], self.end[last - 1]
+        passed = self._possible(code, lo, hi, budget, cm, prefix)
         found = []
-        for n, (ids, codes, counts, weights) in self.by_length.items():
-            if n < m - band or not prefix and n > m + band:
-                continue
-            apart = own - counts
+        for k in range(first, last):
+            at = passed[np.searchsorted(passed, self.begin[k]) : np.searchsorted(passed, self.end[k])] - self.begin[k]
+            apart = own - self.counts[k][at]
             # Counts stop at 127 on either side; longer texts could only look nearer.
             keep = np.maximum(apart, 0).sum(1) <= most
             if not prefix:
                 keep &= np.maximum(-apart, 0).sum(1) <= most
-            at = np.flatnonzero(keep)
+            at = at[keep]
             if len(at):
-                live, cost = _fill(code, codes[at, : m + band] if prefix else codes[at], budget, cm, prefix)
-                found.append((ids[at[live]], cost, weights[at[live]]))
+                codes = self.codes[k][at]
+                live, cost = _fill(code, codes[:, : m + band] if prefix else codes, budget, cm, prefix)
+                at = at[live] + self.begin[k]
+                found.append((self.ids[at], cost, self.weights[at]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
+    def _possible(self, code: np.ndarray, lo: int, hi: int, budget: int, cm: CostModel, prefix: bool) -> np.ndarray:
+        """Places of the terms that no bound on symbols keeps out: every class of
+        symbols that the other text lacks has to be left out or replaced, cheaply
+        only by a key that touches it and that the other text has. The first of
+        equal symbols is never a doubled one."""
+        if cm.first < 4:
+            return np.arange(lo, hi)
+        dear = min(cm.sub, cm.indel)
+        cheap = min(dear, cm.sub_adjacent)
+        masks, near, touched = self.masks[lo:hi], self._near(cm.layout)[lo:hi], _touched(cm.layout)
+        mine = np.bitwise_or.reduce(_bits(code), initial=np.uint64(0))
+        lacks = mine & ~masks
+        keep = cheap * np.bitwise_count(lacks).astype(np.int16) + (dear - cheap) * np.bitwise_count(lacks & ~near).astype(np.int16) <= budget
+        if not prefix:
+            about = np.bitwise_or.reduce(touched[np.minimum(code, len(touched) - 1)], initial=np.uint64(0))
+            lacks = masks & ~mine
+            keep &= cheap * np.bitwise_count(lacks).astype(np.int16) + (dear - cheap) * np.bitwise_count(lacks & ~about).astype(np.int16) <= budget
+        return np.flatnonzero(keep) + lo
+
+
+def _bits(code: np.ndarray) -> np.ndarray:
+    """Each symbol's class as a bit; as costs.symbol_mask."""
+    rest = code % 38
+    kind = np.where(code < 128, code & 63, rest + np.where(rest < 33, 0, 26))
+    return np.left_shift(np.uint64(1), kind.astype(np.uint64))
+
+
+@cache
+def _touched(layout: str) -> np.ndarray:
+    """By code point, the last one for all beyond: the classes of the keys that touch it."""
+    pairs = [(ord(a), ord(b)) for a, b in neighbours(layout)]
+    out = np.zeros(max([128, *(a for a, _ in pairs)]) + 2, np.uint64)
+    for a, b in pairs:
+        out[a] |= _bits(np.array([b]))[0]
+    return out
+
 
 def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of t are within the budget, and their costs."""
@@ -59,19 +124,24 @@ def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool
     lose[1:][q[1:] == q[:-1]] = cm.indel_double
     if m:
         step[0], lose[0] = step[0] * cm.first // 4, lose[0] * cm.first // 4
-    ahead = np.concatenate([[0], np.cumsum(lose)]).astype(np.int32)
-    step = np.ascontiguousarray(step.T.astype(np.int32))  # [key, i]
+    # The dearest path fits in half the room, if costs and texts are ordinary.
+    kind = np.int16 if 2 * max(cm.sub, cm.indel, cm.transpose) * max(4, cm.first) // 4 * (m + n + 2) < 30_000 else np.int32
+    ahead = np.concatenate([[0], np.cumsum(lose)]).astype(kind)
+    step = np.ascontiguousarray(step.T.astype(kind))  # [key, i]
     rows, d = np.arange(len(t)), np.broadcast_to(ahead, (len(t), m + 1))
     before, key = None, small(t)
     best = d[:, m].copy() if prefix else None
     for j in range(n):
         s = t[:, j]
-        gain = np.where(s == t[:, j - 1], cm.indel_double, cm.indel).astype(np.int32) if j else np.full(len(t), cm.indel, np.int32)
+        gain = np.where(s == t[:, j - 1], cm.indel_double, cm.indel).astype(kind) if j else np.full(len(t), cm.indel, kind)
         new = d + gain[:, None]
         new[:, 0] = d[:, 0] + gain * cm.first // 4
         if m:
             same = s[:, None] == q
-            np.minimum(new[:, 1:], d[:, :-1] + np.where(same, 0, step[key[:, j]]), out=new[:, 1:])
+            replaced = step[key[:, j]]
+            replaced[same] = 0
+            replaced += d[:, :-1]
+            np.minimum(new[:, 1:], replaced, out=new[:, 1:])
             if j and m > 1:
                 swap = same[:, :-1] & (t[:, j - 1][:, None] == q[1:]) & (q[1:] != q[:-1])
                 r, i = np.nonzero(swap)
@@ -86,7 +156,10 @@ def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool
         if prefix:
             np.minimum(best, d[:, m], out=best)
         if j % 2 and j + 1 < n and not prefix:
-            keep = np.minimum(d.min(1), before.min(1)) <= budget
+            # What is left of both texts differs in length, which costs; a swap goes past a row.
+            rest = np.abs(np.arange(m, -1, -1) - (n - 1 - j)).astype(kind) * kind(cm.c_indel_min)
+            over = np.abs(np.arange(m, -1, -1) - (n - j)).astype(kind) * kind(cm.c_indel_min)
+            keep = ((d + rest).min(1) <= budget) | ((before + over).min(1) + cm.transpose * min(4, cm.first) // 4 <= budget)
             if not keep.all():
                 rows, t, key, d, before = rows[keep], t[keep], key[keep], d[keep], before[keep]
                 if not len(rows):
