@@ -198,3 +198,26 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def _counted(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark
+), own AS (
+  SELECT item_id, least({SPAN}, len(w)) AS n, w, unnest(range(1, len(w) - least({SPAN}, len(w)) + 2)) AS i FROM items WHERE len(w) > 0
+), spans AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM own
+), places AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM spans) WHERE len(w) >= n
+), hits AS (
+  SELECT r, i, n, item_id FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM places) JOIN spans USING (n, s)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), names AS (
+  SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS names FROM hits WHERE item_id IS NOT NULL GROUP BY r
+)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(names), 0) AS n_items, sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN names USING (r)
+"""

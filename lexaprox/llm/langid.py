@@ -4,9 +4,11 @@ Character n-grams of one to three letters, words padded by a space, are hashed
 to BUCKETS; a text is its TF-IDF vector of unit length. Document frequencies
 are counted over all training documents. Weights are learned by
 follow-the-regularised-leader with an elastic net, a pass after another over a
-bounded sample (SAMPLE training documents, those with the smallest hash of their
-id; a quarter of them is kept back), then the temperature is chosen that makes
-the part kept back likeliest.
+bounded sample (of each language as many documents as SAMPLE has room for, those
+with the smallest hash of their id, EACH at least, so that no language is left
+out however rare; a quarter of them is kept back), then the temperature is chosen
+that makes the part kept back likeliest. Kept-back documents count by how many
+documents of their language there are.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
 null languages are not learned from; with no training document every text is
@@ -19,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import chunks, text_batches
 from .quality import folds
 
 BUCKETS = 1 << 14
-#: Training documents that the weights are fitted on, languages, and passes.
-SAMPLE, MOST_LANGUAGES, PASSES = 3000, 512, 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+#: Training documents that the weights are fitted on, of each language at least, and passes.
+SAMPLE, EACH, PASSES = 4000, 24, 3
+#: Temperatures that are tried.
+HEATS = np.geomspace(0.01, 10, 90)
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 1e-4
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +111,7 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(docs: DataFrame) -> dict | None:
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """A model from docs (doc_id, text, lang)."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -122,26 +126,48 @@ def train(docs: DataFrame) -> dict | None:
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
+    # How many documents each language has, and up to which hash they are taken: a row for each language.
+    langs = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    size = {r["lang"]: r["n"] for r in langs.collect()}
+    most = max(EACH, sample // len(size))
     # The smallest hashes are found without the texts; their rows then are few.
-    edge = base.select("turn").orderBy("turn").limit(SAMPLE).agg(F.max("turn")).first()[0]
-    rows = base.filter(F.col("turn") <= edge).mapInArrow(_vectors, "turn long, lang string, b binary, n binary").orderBy("turn", "lang", "b").limit(2 * SAMPLE).collect()
-    languages = sorted({r["lang"] for r in rows})[:MOST_LANGUAGES]
+    by = Window.partitionBy("lang").orderBy("turn")
+    edges = base.select("lang", "turn").withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most).groupBy("lang").agg(F.max("turn").alias("edge"))
+    picked = base.join(F.broadcast(edges), "lang").filter("turn <= edge").select("turn", "lang", "text")
+    rows = picked.mapInArrow(_vectors, "turn long, lang string, b binary, n binary").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "b"))).filter(F.col("at") <= 2 * most).orderBy("turn", "lang", "b").select("lang", "b", "n").collect()
+    languages = sorted({r["lang"] for r in rows})
     place = {x: k for k, x in enumerate(languages)}
     data = []
     for r in rows:
         b = np.frombuffer(bytes(r["b"]), np.int16).astype(np.int64)
-        if len(b) and r["lang"] in place:
+        if len(b):
             data.append((b, weigh(b, np.frombuffer(bytes(r["n"]), np.int32), idf), place[r["lang"]]))
     if not data:
         return None
-    kept, seen = data[::4] if len(data) > 8 else data, [x for k, x in enumerate(data) if k % 4] if len(data) > 8 else data
+    turn, kept, seen = [0] * len(languages), [], []
+    for x in data:
+        # Of each language every fourth.
+        (kept if turn[x[2]] % 4 == 3 else seen).append(x)
+        turn[x[2]] += 1
+    kept = kept or seen
     model = Ftrl(len(languages))
     for k in range(PASSES):
         for i in np.random.default_rng(k).permutation(len(seen)):
             model.learn(*seen[i])
     w = model.weights(np.arange(BUCKETS))
     logits, y = np.array([v @ w[b] for b, v, _ in kept]), np.array([k for _, _, k in kept])
-    heat = min(np.geomspace(0.05, 5, 60), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean())
+    # As the languages are sampled evenly, their shares come back as weights. One error among
+    # the documents kept back is reckoned with, so that a part without any does not mean certainty.
+    weight = np.array([size[x] for x in languages]) / np.maximum(np.bincount(y, minlength=len(languages)), 1)
+    doubt = 1 / (len(y) + 2)
+
+    def loss(heat: float) -> float:
+        logs = np.log(softmax(logits / heat) + 1e-300)
+        own = logs[np.arange(len(y)), y]
+        others = (logs.sum(1) - own) / max(1, len(languages) - 1)
+        return float(-(weight[y] * ((1 - doubt) * own + doubt * others)).sum())
+
+    heat = min(HEATS, key=loss)
     return {"languages": languages, "w": w.astype(np.float32), "idf": idf, "heat": float(heat)}
 
 

@@ -5,7 +5,8 @@ case, copyright lines left out, equivalent spellings unified, and everything
 but letters and digits, runs of white space included, taken as one space. Its
 SHA-256 digest is joined with the digests of known licence texts. Texts are
 compared as a whole: nothing but a text that says what the licence says, however
-it is laid out, has its digest.
+it is laid out, has its digest. Lines that speak of a licence are looked up by
+themselves too, as notices.
 
 Defined results: a null text has no digest; an empty text, or one of copyright
 lines and punctuation only, has the digest of the empty text and no licence;
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 #: Spellings that stand for the same; words of the canonical form.
 SPELLINGS = {"acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior", "calibre": "caliber", "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sub licence": "sublicense", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "noncommercial": "non commercial", "copyright holder": "copyright owner", "copyright holders": "copyright owners", "https": "http"}
 
@@ -42,6 +45,25 @@ KNOWN = [
     ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("Unlicense", _UNLICENSE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
+# Canonical digests of whole licence texts as their stewards publish them (title and appendix included).
+DIGESTS = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
+    ("GPL-1.0", "e08c08387b3e9d9292a19e7b8b719bc2420466e91f96235d7addba9279c91199"),
+    ("GPL-2.0", "c9150a998ddbe45123303bf71d093beee4baf803b1eaea84b34fd41189285f1f"),
+    ("GPL-3.0", "18bdbf68197ce089f7847b43502283f0ab454abaeb31544c64ab7bf5461169ec"),
+    ("LGPL-2.0", "59a061c498ef1c6b3fd9ad6466d69d12b400f64b87cb827d62c381d3bc6aca88"),
+    ("LGPL-2.1", "1f0770d1499d1ef2c69208a3369d7d9f7722ab5c39fbad959327bed318feb554"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("AGPL-3.0", "35d3d5431c56ffef50e4bc437e350837b018e16072b45028df7982903f158cb3"),
+]
+# End of fixed values.
 #: Lines that only say who has the copyright. A line that a wrapped text begins with
 #: "copyright notice" or "copyright holders" is none of them, nor is a list's item (c).
 COPYRIGHT = r"(?im)^[\s\p{Punct}]*(portions\s+)?(copyright\b(?![\s\p{Punct}]+(notices?|holders?|owners?|laws?|interests?|licen[cs]es?)\b)|copr\b|\(c\)\s*\d|©).*$|^[\s\p{Punct}]*all\s+rights\s+reserved[\s\p{Punct}]*$"
@@ -57,14 +79,58 @@ def canonical(text: F.Column) -> F.Column:
     return F.replace(F.trim(out), F.lit("  "), F.lit(" "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """(digest, licence) of known texts, without texts that are empty in canonical form."""
-    texts = spark.createDataFrame(known, "licence string, text string").withColumn("form", canonical(F.col("text")))
-    return texts.filter("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    texts = spark.createDataFrame(known, "licence string, text string").withColumn("form", canonical(F.col("text"))).filter("form <> ''")
+    every = texts.select(F.sha2("form", 256).alias("digest"), "licence").union(spark.createDataFrame(digests, "licence string, digest string").select("digest", "licence"))
+    return every.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest, licence), one for each of docs (doc_id, text); known
-    has (digest, licence), a row for each digest."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return named.join(known.select("digest", "licence"), "digest", "left").select("doc_id", "digest", "licence")
+    """Rows (doc_id, digest, licence, notices), one for each of docs (doc_id, text);
+    known has (digest, licence), a row for each digest. licence is that of the
+    whole text; notices, parted by commas, those of its lines that are a known
+    text by themselves and speak of a licence (null where there is none)."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[cs]"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.sha2(canonical(x), 256))).alias("lines"))
+    named = materialize(named, "digests")
+    # Equal texts have equal notices, so they are found once for each digest; copies don't add to a key.
+    noticed = named.filter("size(lines) > 0").groupBy("digest").agg(F.collect_set("lines").alias("lines")).select("digest", F.explode(F.array_distinct(F.flatten("lines"))).alias("line"))
+    noticed = noticed.join(known.select(F.col("digest").alias("line"), "licence"), "line").groupBy("digest").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
+    return named.join(known.select("digest", "licence"), "digest", "left").join(noticed, "digest", "left").select("doc_id", "digest", "licence", "notices")
+
+
+def _sql_canonical(text: str) -> str:
+    """canonical() of a SQL expression. Copyright lines are told one by one, as
+    DuckDB's patterns can't look ahead."""
+    kept = f"""array_to_string(list_filter(string_split({text}, chr(10)), lambda x: NOT (
+        regexp_matches(x, '(?i)^[\\s[:punct:]]*(portions\\s+)?(copyright\\b|copr\\b|\\(c\\)\\s*\\d|©)')
+        AND NOT regexp_matches(x, '(?i)^[\\s[:punct:]]*(portions\\s+)?copyright[\\s[:punct:]]+(notices?|holders?|owners?|laws?|interests?|licen[cs]es?)\\b')
+        OR regexp_matches(x, '(?i)^[\\s[:punct:]]*all\\s+rights\\s+reserved[\\s[:punct:]]*$'))), chr(10))"""
+    out = f"' ' || trim(regexp_replace(lower({kept}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'), ' ') || ' '"
+    for old in sorted(SPELLINGS, key=lambda w: (-len(w), w)):
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {SPELLINGS[old].replace(' ', '  ')} ')"
+    return f"replace(trim({out}, ' '), '  ', ' ')"
+
+
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    digests = ", ".join(f"({quoted(n)}, {quoted(d)})" for n, d in DIGESTS)
+    return f"""
+WITH known(licence, text) AS (VALUES {rows}), texts AS (
+  SELECT licence, {_sql_canonical('text')} AS form FROM known
+), digests AS (
+  SELECT digest, min(licence) AS licence FROM (SELECT licence, sha256(form) AS digest FROM texts WHERE form <> '' UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY ALL
+), d AS (
+  SELECT doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM documents
+), lines AS (
+  SELECT DISTINCT digest, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]'))) AS line FROM d
+), noticed AS (
+  SELECT l.digest, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines l JOIN digests k ON k.digest = sha256({_sql_canonical('line')}) GROUP BY l.digest
+)
+SELECT d.doc_id, digest, licence, notices FROM d LEFT JOIN digests USING (digest) LEFT JOIN noticed USING (digest)
+"""
+
+
+SQL = _sql()

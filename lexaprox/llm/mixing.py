@@ -89,3 +89,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), keep: lis
     extra = F.when(whole | (F.col("h") < F.col("below")), F.col("size")).otherwise(0)
     # Rows with their texts are read again: that costs less than to write them with their sizes.
     return (every if keep else sized).join(cut, "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"), *(["row"] if keep else []))
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS key, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents
+), totals AS (
+  SELECT key, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL
+), weighed AS (
+  SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM totals
+), shared AS (
+  SELECT *, most::DOUBLE / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS share
+  FROM weighed WINDOW before AS (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT *, CASE WHEN ratio <= share THEN most::DOUBLE ELSE weight * (SELECT arg_min(share, (ratio, coalesce(source, ''), source IS NULL)) FROM shared WHERE ratio > share) END AS target FROM shared
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS copies FROM targets
+), budgets AS (
+  SELECT *, target - copies * source_size AS budget FROM plan
+), running AS (
+  SELECT key, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY key ORDER BY h) AS above FROM d GROUP BY key, h
+), ends AS (
+  SELECT key, min(h) AS h FROM running JOIN budgets USING (key) WHERE above > budget GROUP BY key
+), cut AS (
+  SELECT key, CASE WHEN words < 2 * (budget - above + words) THEN h + 1 ELSE h END AS below FROM ends JOIN running USING (key, h) JOIN budgets USING (key)
+)
+SELECT doc_id, size, source_size, target, copies * size + CASE WHEN below IS NULL AND budget > 0 OR h < below THEN size ELSE 0 END AS taken
+FROM d JOIN budgets USING (key) LEFT JOIN cut USING (key)
+"""

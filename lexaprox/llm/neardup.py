@@ -443,3 +443,26 @@ def _confirmed(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int
     every = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("ways") - 1)).otherwise(F.array("way")))
     dealt = sets.select("k", "hub", "role", every.alias("way"), "items").repartition("hub", "way").sortWithinPartitions("hub", "way", "role")
     return materialize(dealt.mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "links")
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], chr(10)) AS s FROM places
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), links AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS shared FROM shingles a JOIN shingles b USING (s) WHERE a.r <> b.r GROUP BY ALL
+), edges AS (
+  SELECT a, b FROM links JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reached AS (
+  SELECT DISTINCT a, b FROM edges UNION SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a
+), least AS (
+  SELECT a AS r, min(doc_id) AS doc_id FROM reached JOIN d ON d.r = b GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, least.doc_id) AS component_id, coalesce(d.doc_id <= least(d.doc_id, least.doc_id), true) AS kept
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlrules
+from . import decontam, licences, mixing, neardup, urlrules
 from .ann import nearest_neighbours
 from .decontam import decontaminate
 from .langid import identify
@@ -35,7 +35,7 @@ def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 85 % of common 5-word shingles."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_balanced_postings_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": urlrules.SQL}
+    return {"op4_minhash_near_dedup": neardup.SQL, "op5_licence_digests": licences.SQL, "op6_source_mixing": mixing.SQL, "op8_winnowing_decontamination": decontam.SQL, "op10_url_rules": urlrules.SQL}

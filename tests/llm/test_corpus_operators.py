@@ -233,9 +233,15 @@ def test_mixing_of_one_blank_source(spark):
 def test_licences(spark):
     mit = next(t for n, t in KNOWN if n == "MIT")
     rows = [(1, mit, None, None), (2, "Copyright (c) 2001 A. Person\n\n" + mit.upper().replace(" ", "\n "), None, None), (3, mit + " more", None, None), (4, None, None, None), (5, "", None, None), (6, "Licenced under the Apache Licence, version 2.0", None, None), (7, "Copyright 2020 x", None, None), (8, "licence licence", None, None), (9, "license license", None, None)]
-    out = {r["doc_id"]: (r["licence"], r["digest"]) for r in scan_licences(documents(spark, rows), known_digests(spark)).collect()}
-    assert [out[i][0] for i in range(1, 10)] == ["MIT", "MIT", None, None, None, "Apache-2.0", None, None, None]
-    assert out[4][1] is None and out[5][1] == out[7][1] and out[8][1] == out[9][1]
+    rows += [(10, "Some prose.\n\nReleased under the MIT License.\r\nMore prose;\n  * licensed under the apache licence, VERSION 2.0!\n", None, None), (11, "one line\n" * 3, None, None), (11, mit, None, None), (11, mit, None, None), (12, "x " * 200_000 + "\nLicensed under CC BY 4.0", None, None)]
+    out = scan_licences(documents(spark, rows), known_digests(spark)).collect()
+    assert len(out) == len(rows)
+    by = {r["doc_id"]: r for r in out}
+    assert [by[i]["licence"] for i in range(1, 11)] == ["MIT", "MIT", None, None, None, "Apache-2.0", None, None, None, None]
+    assert by[4]["digest"] is None and by[5]["digest"] == by[7]["digest"] and by[8]["digest"] == by[9]["digest"]
+    assert by[10]["notices"] == "Apache-2.0,MIT" and by[12]["notices"] == "CC-BY-4.0" and by[6]["notices"] == "Apache-2.0" and by[4]["notices"] is None
+    assert sorted(str(r["licence"]) for r in out if r["doc_id"] == 11) == ["MIT", "MIT", "None"]
+    assert scan_licences(documents(spark, []), known_digests(spark)).collect() == []
 
 
 def brute_url(url, rules):
@@ -374,6 +380,27 @@ def test_languages(spark):
     assert langid.identify(documents(spark, [(1, "abc", None, None)])).first()["lang_pred"] == "und"
 
 
+def test_languages_are_sparse_calibrated_and_none_is_left_out(spark):
+    rng = random.Random(12)
+    letters = {k: rng.sample("abcdefghijklmnopqrstuvwxyz", 14) for k in "pqrs"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 5)))
+    rows = [(i, " ".join(word(k) for _ in range(rng.choice([1, 2, 3, 30]))), k, "s") for i, k in enumerate(rng.choices("pqr", [60, 30, 10], k=900))]
+    rows += [(2000 + i, " ".join(word("s") for _ in range(30)), "s", "s") for i in range(12)]
+    docs = documents(spark, rows + rows[:20])
+    kept = docs.filter("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0")
+    model = langid.train(kept, sample=200)
+    # The rare language has its rows in the sample.
+    assert model["languages"] == ["p", "q", "r", "s"] and (model["w"] == 0).mean() > 0.5
+    assert langid.HEATS[0] < model["heat"] < langid.HEATS[-1]
+    out = langid.identify(docs).collect()
+    truth = {i: k for i, _, k, _ in rows}
+    held = [r for r in out if r["held_out"]]
+    right = np.array([r["lang_pred"] == truth[r["doc_id"]] for r in held])
+    score = np.array([r["score"] for r in held])
+    assert len(out) == len(rows) + 20 and right.mean() > 0.8 and abs(right.mean() - score.mean()) < 0.1
+    assert sum(r["lang_pred"] == "s" for r in out if r["doc_id"] >= 2000) >= 8
+
+
 def test_language_model_gradient_and_windows():
     rng = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in lm.initial(30).items()}
