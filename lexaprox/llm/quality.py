@@ -1,6 +1,8 @@
 """Quality classifier: a Bradley-Terry ranking from preference pairs.
 
-Texts become a short vector of surface features, over the whole text. A pair of
+Texts become a vector of surface features and of hashed words, over the whole
+text: the shares of kinds of bytes and of marks, the shape of words and lines,
+and the square root of the share of words in each of BUCKETS buckets. A pair of
 a preferred and a rejected text says that the first one's score is higher; the
 scores are linear in the features and fitted by the logistic loss of feature
 differences, with a ridge penalty, on PAIRS pairs dealt from a bounded sample of
@@ -16,7 +18,9 @@ document gets its score; with labels of one kind only, or none, every score is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +36,22 @@ _KIND = np.zeros(256, dtype=np.uint8)  # 0 other ASCII punctuation, 1 lower, 2 u
 for _lo, _hi, _k in ((97, 123, 1), (65, 91, 2), (48, 58, 3), (9, 14, 4), (32, 33, 4), (128, 256, 5)):
     _KIND[_lo:_hi] = _k
 _MARKS = b"#$%&*!|.,;:?/<>[]{}=_~^+@-\"'()"
-N_FEATURES = 6 + len(_MARKS) + 15
+#: Buckets of hashed words.
+BUCKETS = 512
+N_SURFACE = 6 + len(_MARKS) + 15
+N_FEATURES = N_SURFACE + BUCKETS
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of kinds of bytes and of marks, and the shape of words and lines."""
+    """Shares of kinds of bytes and of marks, the shape of words and lines, and hashed words."""
     out = np.zeros(N_FEATURES)
     raw = (text or "").encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, dtype=np.uint8)
     words = raw.split()
     if not words:
-        out[-1] = 1
+        out[N_SURFACE - 1] = 1
         return out
+    words_of = Counter(words)
     n, w, counts = len(b), len(words), np.bincount(b, minlength=256)
     out[:6] = np.bincount(_KIND, weights=counts, minlength=6) / n
     out[6 : 6 + len(_MARKS)] = np.minimum(1, counts[list(_MARKS)] / w)
@@ -54,9 +62,11 @@ def features(text: str | None) -> np.ndarray:
     last = np.concatenate([kind[1:] == 4, [True]]) & (kind != 4)
     first, end = kind[edge], b[last]
     ends = np.bincount(end, minlength=256)
-    out[6 + len(_MARKS) :] = [
-        np.log1p(w) / 10, sizes.mean() / 10, sizes.std() / 10, sizes.max() / 100 if sizes.max() < 100 else 1, len(set(words)) / w, len(set(lines)) / len(lines), w / len(lines) / 50, np.mean(sizes <= 3),
+    out[6 + len(_MARKS) : N_SURFACE] = [
+        np.log1p(w) / 10, sizes.mean() / 10, sizes.std() / 10, sizes.max() / 100 if sizes.max() < 100 else 1, len(words_of) / w, len(set(lines)) / len(lines), w / len(lines) / 50, np.mean(sizes <= 3),
         (first == 2).mean(), (first == 0).mean(), ends[[46, 33, 63]].sum() / w, ends[44] / w, ends[[35, 36, 37, 38, 42, 124]].sum() / w, np.mean(sizes == 1), 0]
+    bucket = np.fromiter((crc32(x.lower()) % BUCKETS for x in words_of), np.int64, len(words_of))
+    out[N_SURFACE:] = np.sqrt(np.bincount(bucket, weights=list(words_of.values()), minlength=BUCKETS) / w)
     return out
 
 
@@ -73,12 +83,15 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict | None:
     if not len(good) or not len(bad):
         return None
     mean, scale = x.mean(0), x.std(0) + 1e-3
+    # Words are sparse: what few texts have would weigh most.
+    scale[N_SURFACE:] = 0.5
     z = np.clip((x - mean) / scale, -6, 6)
     rng = np.random.default_rng(seed)
-    diff = z[good[rng.integers(0, len(good), PAIRS)]] - z[bad[rng.integers(0, len(bad), PAIRS)]]
+    better, worse = good[rng.integers(0, len(good), PAIRS)], bad[rng.integers(0, len(bad), PAIRS)]
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, STEPS + 1):
-        part = diff[rng.integers(0, PAIRS, 2048)]
+        pair = rng.integers(0, PAIRS, 1024)
+        part = z[better[pair]] - z[worse[pair]]
         p = 1 / (1 + np.exp(np.clip(part @ w, -30, 30)))  # what the loss of a pair still pulls
         g = -(part * p[:, None]).mean(0) + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -149,7 +162,9 @@ def score_quality(docs: DataFrame, model: dict | None) -> DataFrame:
 def _series(texts, model):
     import pandas as pd
 
-    return pd.Series(score(model, np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)))
+    # A few texts at a time; their whole batch has been bounded by text_batches.
+    parts = [score(model, np.array([features(t) for t in own]).reshape(-1, N_FEATURES)) for _, own in chunks(list(range(len(texts))), list(texts))]
+    return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
 
 def folds(docs: DataFrame, modulus: int, held: int) -> F.Column:

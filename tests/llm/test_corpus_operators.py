@@ -367,6 +367,21 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), labels).collect() == []
 
 
+def test_quality_sees_words(spark):
+    """Texts of one shape, told apart by their words alone; nulls, blanks and a very long text besides."""
+    rng = random.Random(18)
+    words = {1: ["river", "stone", "cloud", "field"], 0: ["rivet", "stove", "clout", "fiend"]}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(30)), i % 2) for i in range(300)]
+    docs = documents(spark, [(i, t, None, None) for i, t, _ in rows] + [(900, "river " * 200_000, None, None), (901, None, None, None), (902, " ", None, None)])
+    out = {r["doc_id"]: r for r in quality.quality_scores(docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([out[i]["predicted"] == q for i, _, q in rows if out[i]["held_out"]]) > 0.95 and out[900]["predicted"] == 1
+    # The score is the logistic of the features' weights around the threshold.
+    model = quality.train(docs.filter("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 3) <> 1"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    for i, t, _ in rows[:20]:
+        z = np.clip((quality.features(t) - model["mean"]) / model["scale"], -6, 6)
+        assert abs(out[i]["score"] - 1 / (1 + np.exp(-(float(z @ model["w"]) - model["threshold"])))) < 1e-6
+
+
 def test_languages(spark):
     rng = random.Random(9)
     words = {"aa": ["the", "and", "house", "with"], "bb": ["über", "straße", "und", "nicht"], "cc": ["été", "où", "leçon", "que"]}
