@@ -5,7 +5,7 @@ to BUCKETS; a text is its TF-IDF vector of unit length. Document frequencies
 are counted over all training documents. Weights are learned by
 follow-the-regularised-leader with an elastic net, a pass after another over a
 bounded sample (of each language as many documents as SAMPLE has room for, those
-with the smallest hash of their id, EACH at least, so that no language is left
+with the smallest hash, EACH at least, so that no language is left
 out however rare; a quarter of them is kept back), then the temperature is chosen
 that makes the part kept back likeliest. Kept-back documents count by how many
 documents of their language there are.
@@ -115,7 +115,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """A model from docs (doc_id, text, lang)."""
     spark = docs.sparkSession
     text_batches(spark)
-    base = docs.select(F.xxhash64("doc_id").alias("turn"), "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    base = docs.select(F.xxhash64("doc_id", "text").alias("turn"), "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = base.select("text").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df, n_docs = np.zeros(BUCKETS), 0
     for r in counts.collect():  # a row for each bucket at most
@@ -126,15 +126,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    # How many documents each language has, and up to which hash they are taken: a row for each language.
-    langs = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # How many documents each language has: a row for each language.
+    langs = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("least"))
     size = {r["lang"]: r["n"] for r in langs.collect()}
     most = max(EACH, sample // len(size))
-    # The smallest hashes are found without the texts; their rows then are few.
-    by = Window.partitionBy("lang").orderBy("turn")
-    edges = base.select("lang", "turn").withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most).groupBy("lang").agg(F.max("turn").alias("edge"))
-    picked = base.join(F.broadcast(edges), "lang").filter("turn <= edge").select("turn", "lang", "text")
-    rows = picked.mapInArrow(_vectors, "turn long, lang string, b binary, n binary").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "b"))).filter(F.col("at") <= 2 * most).orderBy("turn", "lang", "b").select("lang", "b", "n").collect()
+    # Hashes are even, so one below this is about twice as many rows as are taken, and at least one.
+    edge = F.greatest("least", (F.lit(float(-(1 << 63))) + F.least(F.lit(1.0), (2.0 * most + 64) / F.col("n")) * float(1 << 64)).cast("long"))
+    picked = base.join(F.broadcast(langs.select("lang", edge.alias("edge"))), "lang").filter("turn <= edge").select("turn", "lang", "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "b"))
+    rows = picked.mapInArrow(_vectors, "turn long, lang string, b binary, n binary").withColumn("at", turn).filter(F.col("at") <= most).orderBy("turn", "lang", "b").select("lang", "b", "n").collect()
     languages = sorted({r["lang"] for r in rows})
     place = {x: k for k, x in enumerate(languages)}
     data = []
