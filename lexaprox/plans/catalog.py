@@ -275,7 +275,11 @@ def rule_search(spark, sf_dir):
     return ps.rule_search(queries_of(pairs(terms)), terms, rules(spark)).select("qid", "rank", "id", "cost")
 
 
-@query()
+@query(f"""WITH {sql.TERMS}, {sql.TYPOS}, a AS (SELECT typo, correct, len(list_filter(range(1, least(length(typo), length(correct)) + 1), lambda i: substr(typo, 1, i) = substr(correct, 1, i))) AS p FROM pairs),
+b AS (SELECT *, len(list_filter(range(1, least(length(typo), length(correct)) - p + 1), lambda i: right(typo, i) = right(correct, i))) AS s FROM a),
+c AS (SELECT substr(typo, p - l + 1, length(typo) - s + r - p + l) AS rule_from, substr(correct, p - l + 1, length(correct) - s + r - p + l) AS rule_to FROM b, (VALUES (0), (1)) x(l), (VALUES (0), (1)) y(r)
+WHERE length(typo) - p - s BETWEEN 1 AND 3 AND length(correct) - p - s BETWEEN 0 AND 3 AND p >= l AND s >= r)
+SELECT rule_from, rule_to, count(*) AS n FROM c WHERE rule_from <> rule_to AND length(rule_from) <= 5 GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, rule_from, rule_to LIMIT 100""")
 def mine_rules(spark, sf_dir):
     return ps.mine_rules(pairs(dictionary(spark, sf_dir)))
 
@@ -293,10 +297,24 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-@query()
+_CUT = "list_filter(range(1, length({a}) + 1), lambda i: substr({a}, 1, i - 1) || substr({a}, i + 1) = {b})"
+_TWIN = "len(list_filter({cut}, lambda i: i > 1 AND substr({a}, i, 1) = substr({a}, i - 1, 1) OR i < length({a}) AND substr({a}, i, 1) = substr({a}, i + 1, 1))) > 0"
+_twin = lambda a, b: _TWIN.format(cut=_CUT.format(a=a, b=b), a=a)
+_NEAR = " ".join(sorted(a + b for a, b in layout.neighbours("qwerty")))
+
+
+@query(sql.search() + _RANKS + ", asked AS (SELECT typo AS q, correct AS t FROM pairs), " + sql.matrices("asked", unit=True).replace("dp", "du").replace("scored", "counted") + f""",
+spots AS (SELECT qid, typo, correct, c.cost AS osa, list_filter(range(1, length(typo) + 1), lambda i: substr(typo, i, 1) <> substr(correct, i, 1)) AS places FROM pairs JOIN counted c ON c.q = typo AND c.t = correct),
+named AS (SELECT qid, substr(typo, 1, 1) <> substr(correct, 1, 1) AS first_differs, CASE WHEN osa = 0 THEN 'same' WHEN osa >= 2 THEN 'two or more edits'
+ WHEN length(typo) = length(correct) AND len(places) = 1 AND list_contains(string_split('{_NEAR.replace("'", "''")}', ' '), substr(typo, places[1], 1) || substr(correct, places[1], 1)) THEN 'neighbouring-key substitution'
+ WHEN length(typo) = length(correct) AND len(places) = 1 THEN 'other substitution' WHEN length(typo) = length(correct) THEN 'transposition'
+ WHEN length(typo) < length(correct) AND {_twin('correct', 'typo')} THEN 'missing doubled letter' WHEN length(typo) < length(correct) THEN 'missing letter'
+ WHEN {_twin('typo', 'correct')} THEN 'extra doubled letter' ELSE 'extra letter' END AS category FROM spots),
+both AS (SELECT qid, category FROM named UNION ALL SELECT qid, 'first letter differs' FROM named WHERE first_differs)
+SELECT category, count(*) AS n, round(avg(rr), 9) AS mrr, round(avg((rank IS NOT NULL AND rank = 1)::INT), 9) AS r_at_1, round(avg((rank IS NOT NULL)::INT), 9) AS r_at_10 FROM both JOIN ranks USING (qid) GROUP BY category""".replace("both", "either"))
 def mrr_by_category(spark, sf_dir):
     _, found, hits = searched(spark, sf_dir)
-    return ev.by_category(ev.reciprocal_ranks(ev.classify(found), hits))
+    return _rounded(ev.by_category(ev.reciprocal_ranks(ev.classify(found), hits)), "mrr", "r_at_1", "r_at_10")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -336,7 +354,8 @@ def percentile_pick(spark, sf_dir):
     return ev.percentile_pick(searched(spark, sf_dir)[2], "cost", 0.95, "rank")
 
 
-@query()
+@query(_PAIRS + sql.matrices("asked") + ", " + sql.matrices("asked", unit=True).replace("dp", "du").replace("scored", "counted") +
+       f" SELECT c.cost AS osa, count(*) AS pairs, count_if(s.cost <= 32) AS within_32, count_if(s.cost <= 48) AS within_48, count_if(s.cost <= 64) AS within_64, count_if({sql.soundex('typo')} = {sql.soundex('correct')}) AS same_key FROM pairs JOIN scored s ON s.q = typo AND s.t = correct JOIN counted c ON c.q = typo AND c.t = correct GROUP BY c.cost")
 def recall_decomposition(spark, sf_dir):
     found = pairs(dictionary(spark, sf_dir))
     return ev.reachability(found.withColumn("osa", unit_osa("typo", "right")).withColumn("cost", distance("typo", "right")), phonetic.soundex)
@@ -383,9 +402,9 @@ def fuzzy_documents(spark, sf_dir):
     return Documents({"p_name": 2.0, "p_brand": 1.0, "p_type": 1.0}).search(asked, docs).select("qid", "rank", "doc_index", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"WITH w AS (SELECT unnest(regexp_extract_all(translate(text, {sql.AZ}), '[a-z]+')) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM w GROUP BY term) SELECT term, round(65535 * ln(1 + n) / (SELECT ln(1 + max(n)) FROM c))::INT AS weight FROM c")
 def log_weight_dictionary(spark, sf_dir):
-    """Weights on a logarithmic scale; libraries round logarithms differently."""
+    """Weights on a logarithmic scale."""
     return log_weights(word_counts(table(spark, sf_dir, "documents")))
 
 
