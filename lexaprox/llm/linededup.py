@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, release, salted_join
+from ._shared import Temporary, materialize, release, salted_join
 
 #: Runs of at least so many words are deleted where they come again.
 MIN_WORDS = 25
@@ -67,23 +67,25 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array([o] * len(out), pa.int64()), pa.array([d] * len(out), pa.int64()), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["ord", "dk", "s", "len"])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, tmp: Temporary | None = None) -> DataFrame:
     """Later copies of repeated runs: rows (ord, dk, line_no), a row for each line to delete;
-    (ord, dk) is a document's place and the hash of its row."""
+    (ord, dk) is a document's place and the hash of its row. What it is made of is
+    in the tables of tmp."""
+    tmp = tmp or Temporary()
     split = F.expr(r"filter(transform(split(text, '\n'), (x, i) -> struct(i AS line_no, trim(BOTH ' \t\r' FROM x) AS line)), x -> x.line <> '')")
     lines = docs.filter("text IS NOT NULL").select(*place(), F.posexplode(split).alias("i", "x")).select(*_KEY, F.col("i").cast("long").alias("i"), F.col("x.line_no").alias("line_no"), F.regexp_count("x.line", F.lit(r"\S+")).alias("words"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"))
     lines = materialize(lines.filter("words > 0"), "lines")
     level = _ranks(lines, ["h1", "h2"], "ranks")
-    active = materialize(salted_join(lines.withColumn("salt", F.xxhash64(*_KEY, "i")), level, ["h1", "h2"], "salt").select(*_KEY, "i", "line_no", "words", F.col("above").alias("rank")).distinct(), "level")
+    active = tmp(salted_join(lines.withColumn("salt", F.xxhash64(*_KEY, "i")), level, ["h1", "h2"], "salt").select(*_KEY, "i", "line_no", "words", F.col("above").alias("rank")).distinct(), "level")
     per_doc = active.groupBy(*_KEY).agg(F.collect_list(F.struct("i", "words")).alias("lines"))
-    runs = materialize(per_doc.mapInArrow(lambda it: _windows(it, min_words), "ord long, dk long, s long, len long"), "runs")
-    release(level)
+    runs = tmp(per_doc.mapInArrow(lambda it: _windows(it, min_words), "ord long, dk long, s long, len long"), "runs")
+    release(level, lines)
     ranks, at, k, later = active.select(*_KEY, "i", "rank"), active.select(*_KEY, "i", "line_no"), 0, None
     deepest = runs.agg(F.max("len")).first()[0] or 0
     while (1 << k) <= deepest:
         here = runs.filter(f"len >= {1 << k} AND len < {2 << k}")
         ends = here.join(ranks.select(*_KEY, F.col("i").alias("s"), F.col("rank").alias("ra")).hint("merge"), [*_KEY, "s"]).withColumn("i", F.expr(f"s + len - {1 << k}")).join(ranks.select(*_KEY, "i", F.col("rank").alias("rb")).hint("merge"), [*_KEY, "i"])
-        ends = materialize(ends.select(*_KEY, "s", "len", "ra", "rb"), "intervals")
+        ends = tmp(ends.select(*_KEY, "s", "len", "ra", "rb"), "intervals")
         first = ends.groupBy("len", "ra", "rb").agg(F.min(F.struct(*_KEY, "s")).alias("first"), F.max(F.struct(*_KEY, "s")).alias("last")).filter("first <> last").drop("last")
         copies = salted_join(ends.withColumn("salt", F.xxhash64(*_KEY, "s")), first, ["len", "ra", "rb"], "salt").filter(F.struct(*_KEY, "s") > F.col("first")).select(*_KEY, "s", "len")
         later = copies if later is None else later.union(copies)
@@ -91,7 +93,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pair = ranks.join(ranks.select(*_KEY, F.expr(f"i - {1 << k}").alias("i"), F.col("rank").alias("next")).hint("merge"), [*_KEY, "i"])
         pair = materialize(pair, "pairs")
         level = _ranks(pair, ["rank", "next"], "ranks")
-        ranks = materialize(salted_join(pair.withColumn("salt", F.xxhash64(*_KEY, "i")), level, ["rank", "next"], "salt").select(*_KEY, "i", F.col("above").alias("rank")), "level")
+        ranks = tmp(salted_join(pair.withColumn("salt", F.xxhash64(*_KEY, "i")), level, ["rank", "next"], "salt").select(*_KEY, "i", F.col("above").alias("rank")), "level")
         release(pair, level)
         k += 1
     if later is None:
@@ -108,10 +110,13 @@ def place() -> list[F.Column]:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text and any others) with the later copies of repeated runs
     of lines deleted from text, and the number of lines deleted as n_removed."""
-    gone = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(*_KEY).agg(F.collect_list("line_no").alias("gone"))
+    tmp = Temporary()
+    gone = repeated_runs(docs.select("doc_id", "text"), min_words, tmp).groupBy(*_KEY).agg(F.collect_list("line_no").alias("gone"))
     names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *place())
-    both = own.join(materialize(gone, "gone").hint("merge"), _KEY, "left")
+    gone = materialize(gone, "gone")
+    tmp.clear()
+    both = own.join(gone.hint("merge"), _KEY, "left")
     text = names["text"]
     # Kept places, by a hash set, then their lines.
     lines = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col(text), "\n")))
