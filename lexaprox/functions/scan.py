@@ -61,7 +61,8 @@ class TermBlock:
             return (np.empty(0, np.int64),) * 3
         lo, hi = self.begin[first], self.end[last - 1]
         passed = self._possible(code, lo, hi, budget, cm, prefix)
-        found = []
+        # Of all lengths together, the shorter first, each as far as it can matter.
+        width, parts = min(m + band, int(self.lengths[last - 1])), []
         for k in range(first, last):
             at = passed[np.searchsorted(passed, self.begin[k]) : np.searchsorted(passed, self.end[k])] - self.begin[k]
             apart = own - self.counts[k][at]
@@ -69,13 +70,17 @@ class TermBlock:
             keep = np.maximum(apart, 0).sum(1) <= most
             if not prefix:
                 keep &= np.maximum(-apart, 0).sum(1) <= most
-            at = at[keep]
-            if len(at):
-                codes = self.codes[k][at]
-                live, cost = _fill(code, codes[:, : m + band] if prefix else codes, budget, cm, prefix)
-                at = at[live] + self.begin[k]
-                found.append((self.ids[at], cost, self.weights[at]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+            if keep.any():
+                parts.append((k, at[keep]))
+        n = np.repeat([min(width, int(self.lengths[k])) for k, _ in parts], [len(at) for _, at in parts])
+        codes, row = np.zeros((len(n), width), np.int32), 0
+        for k, at in parts:
+            own_width = min(width, int(self.lengths[k]))
+            codes[row : row + len(at), :own_width] = self.codes[k][at, :own_width]
+            row += len(at)
+        at = np.concatenate([at + self.begin[k] for k, at in parts]) if parts else np.empty(0, np.int64)
+        live, cost = _fill(code, codes, n, budget, cm, prefix)
+        return self.ids[at[live]], cost, self.weights[at[live]]
 
     def _possible(self, code: np.ndarray, lo: int, hi: int, budget: int, cm: CostModel, prefix: bool) -> np.ndarray:
         """Places of the terms that no bound on symbols keeps out: every class of
@@ -114,9 +119,9 @@ def _touched(layout: str) -> np.ndarray:
     return out
 
 
-def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of t are within the budget, and their costs."""
-    m, n = len(q), t.shape[1]
+def _fill(q: np.ndarray, t: np.ndarray, n: np.ndarray, budget: int, cm: CostModel, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of t, whose lengths n ascend, are within the budget, and their costs."""
+    m, width = len(q), t.shape[1]
     number, touch = _adjacency(cm.layout)
     small = lambda x: np.where(x < len(number), number[np.minimum(x, len(number) - 1)], 0)
     step = np.where(touch[small(q)], cm.sub_adjacent, cm.sub)  # of each of the query's symbols by the key of the term's
@@ -125,13 +130,14 @@ def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool
     if m:
         step[0], lose[0] = step[0] * cm.first // 4, lose[0] * cm.first // 4
     # The dearest path fits in half the room, if costs and texts are ordinary.
-    kind = np.int16 if 2 * max(cm.sub, cm.indel, cm.transpose) * max(4, cm.first) // 4 * (m + n + 2) < 30_000 else np.int32
+    kind = np.int16 if 2 * max(cm.sub, cm.indel, cm.transpose) * max(4, cm.first) // 4 * (m + width + 2) < 30_000 else np.int32
     ahead = np.concatenate([[0], np.cumsum(lose)]).astype(kind)
     step = np.ascontiguousarray(step.T.astype(kind))  # [key, i]
     rows, d = np.arange(len(t)), np.broadcast_to(ahead, (len(t), m + 1))
     before, key = None, small(t)
     best = d[:, m].copy() if prefix else None
-    for j in range(n):
+    found = []
+    for j in range(width if len(t) else 0):
         s = t[:, j]
         gain = np.where(s == t[:, j - 1], cm.indel_double, cm.indel).astype(kind) if j else np.full(len(t), cm.indel, kind)
         new = d + gain[:, None]
@@ -155,18 +161,27 @@ def _fill(q: np.ndarray, t: np.ndarray, budget: int, cm: CostModel, prefix: bool
         before, d = d, new
         if prefix:
             np.minimum(best, d[:, m], out=best)
-        if j % 2 and j + 1 < n and not prefix:
+        ended = int(np.searchsorted(n, j + 1, side="right"))
+        if ended:
+            found.append((rows[:ended], (best if prefix else d[:, m])[:ended].astype(np.int64)))
+            rows, t, n, key, d, before = (x[ended:] for x in (rows, t, n, key, d, before))
+            best = best[ended:] if prefix else None
+        if not len(rows):
+            break
+        if j % 2 and not prefix:
             # What is left of both texts differs in length, which costs; a swap goes past a row.
-            rest = np.abs(np.arange(m, -1, -1) - (n - 1 - j)).astype(kind) * kind(cm.c_indel_min)
-            over = np.abs(np.arange(m, -1, -1) - (n - j)).astype(kind) * kind(cm.c_indel_min)
-            keep = ((d + rest).min(1) <= budget) | ((before + over).min(1) + cm.transpose * min(4, cm.first) // 4 <= budget)
+            left = n - 1 - j
+            rest = (np.abs(np.arange(m, -1, -1) - np.arange(left[-1] + 2)[:, None]) * cm.c_indel_min).astype(kind)
+            keep = ((d + rest[left]).min(1) <= budget) | ((before + rest[left + 1]).min(1) + cm.transpose * min(4, cm.first) // 4 <= budget)
             if not keep.all():
-                rows, t, key, d, before = rows[keep], t[keep], key[keep], d[keep], before[keep]
+                rows, t, n, key, d, before = (x[keep] for x in (rows, t, n, key, d, before))
                 if not len(rows):
-                    return rows, np.empty(0, np.int64)
-    cost = best if prefix else d[:, m]
+                    break
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows, cost = (np.concatenate(x) for x in zip(*found))
     ok = cost <= budget
-    return rows[ok], cost[ok].astype(np.int64)
+    return rows[ok], cost[ok]
 
 
 def top(ids: np.ndarray, cost: np.ndarray, weights: np.ndarray, k: int, ranking: str) -> np.ndarray:
