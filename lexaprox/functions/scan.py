@@ -136,6 +136,10 @@ def _fill(q: np.ndarray, t: np.ndarray, n: np.ndarray, budget: int, cm: CostMode
     rows, d = np.arange(len(t)), np.broadcast_to(ahead, (len(t), m + 1))
     before, key = None, small(t)
     best = d[:, m].copy() if prefix else None
+    if not width:
+        # The empty prefix of a term.
+        cost = d[:, m].astype(np.int64)
+        return rows[cost <= budget], cost[cost <= budget]
     found = []
     for j in range(width if len(t) else 0):
         s = t[:, j]
