@@ -382,6 +382,34 @@ def test_quality_sees_words(spark):
         assert abs(out[i]["score"] - 1 / (1 + np.exp(-(float(z @ model["w"]) - model["threshold"])))) < 1e-6
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Words that only labelled rows beyond the first thousands of hashes hold tell held-out texts apart,
+    and the weights are those of all pairs, labels counted as often as they come."""
+    ids = spark.range(14_000).selectExpr("id", "xxhash64(id) h", "pmod(crc32(cast(cast(id AS string) AS binary)), 3) = 1 held").orderBy("h").collect()
+    rows, seen = [], {0: 0, 1: 0}
+    for r in ids:
+        q = r["id"] % 2
+        late = r["held"] or seen[q] >= 4000
+        seen[q] += not r["held"]
+        rows.append((r["id"], " ".join(["cloud", ("river", "rivet")[q] if late else ("stone", "stove")[q]] * 3), q))
+    assert min(seen.values()) > 4200
+    docs, labels = documents(spark, [(i, t, None, None) for i, t, _ in rows]), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    assert np.mean([out[i]["predicted"] == q for i, _, q in rows if out[i]["held_out"]]) > 0.95
+    few = labelled(60) + [(100 + i, t + " BUY!!", 0) for i, t, _ in labelled(9)]
+    more = [(i, q) for i, _, q in few] + [(1, 1), (2, 0)]
+    model = quality.train(documents(spark, [(i, t, None, None) for i, t, _ in few]), spark.createDataFrame(more, "doc_id long, quality int"))
+    texts = {i: t for i, t, _ in few}
+    x, y = np.array([quality.features(texts[i]) for i, _ in more]), np.array([q for _, q in more])
+    z = np.clip((x - model["mean"]) / model["scale"], -6, 6)
+    assert np.allclose(model["mean"], x.mean(0), atol=1e-5)
+    s = z @ model["w"]
+    pull = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    gradient = quality.RIDGE * model["w"] - (pull.sum(1) @ z[y == 1] - pull.sum(0) @ z[y == 0]) / pull.size
+    assert np.abs(gradient).max() < 1e-3 < np.abs(z[y == 1].mean(0) - z[y == 0].mean(0)).max()
+    assert abs((s < model["threshold"]).sum() - (y == 0).sum()) <= 1
+
+
 def test_languages(spark):
     rng = random.Random(9)
     words = {"aa": ["the", "and", "house", "with"], "bb": ["über", "straße", "und", "nicht"], "cc": ["été", "où", "leçon", "que"]}
