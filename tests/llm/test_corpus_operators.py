@@ -575,6 +575,32 @@ def test_language_model_learns(spark):
     assert len(twice) > 20 and per("score", twice).min() > per("score", once).max()
 
 
+def test_language_model_classes_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    monkeypatch.setattr(lm, "BATCH_CHARS", 3000)
+    rows = corpus(12, 60) + [(700, None, "aa", "s"), (701, " ", "aa", "s")]
+    model = lm.train(documents(spark, rows), lm.default_vocabulary())
+    counts, pairs = np.zeros(model.end + 1), {}
+    for _, t, *_ in rows:
+        ids = [model.end] + [i for w in lower_words(t) for i in lm.encoder(model.ranks)[0].encode_ordinary(" " + w.decode())] + [model.end]
+        for a, b in zip(ids, ids[1:]):
+            counts[b] += 1
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+    # Whatever the two sampled documents lack has its own embedding all the same.
+    assert (model.row[counts > 0] > 0).all() and (model.row[counts == 0] == 0).all()
+    own = lm.own_ids(counts)
+    assert lm.CLASSES < len(own) < lm.CLUSTERED and list(own) == sorted(own, key=lambda i: (-counts[i], i))
+    number, around = {i: k for k, i in enumerate(own)}, np.zeros((len(own), 2 * lm.NEIGHBOURS + 2))
+    column = lambda i: min(number.get(i, lm.NEIGHBOURS), lm.NEIGHBOURS)
+    for (a, b), n in pairs.items():
+        if b in number:
+            around[number[b], column(a)] += n
+        if a in number:
+            around[number[a], lm.NEIGHBOURS + 1 + column(b)] += n
+    row, kind = lm.word_classes(counts, around)
+    assert (row == model.row).all() and (kind == model.kind).all() and len(set(kind[own])) > 30
+
+
 def test_segments():
     """Equal runs of ids have equal keys wherever they stand, and others have others."""
     rng = np.random.default_rng(3)
