@@ -23,7 +23,7 @@ class TermBlock:
     def __init__(self, ids, norms: list[str], weights):
         n = np.fromiter(map(len, norms), dtype=np.int64, count=len(norms))
         order = np.argsort(n, kind="stable")
-        self.ids, self.weights = np.asarray(ids, dtype=np.int64)[order], np.asarray(weights, dtype=np.int64)[order]
+        self.order, self.ids, self.weights = order, np.asarray(ids, dtype=np.int64)[order], np.asarray(weights, dtype=np.int64)[order]
         self.lengths, self.begin = np.unique(n[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
         self.codes, self.masks = [], np.zeros(len(order), np.uint64)

@@ -3,14 +3,18 @@ the fields of documents. Texts are ASCII; A-Z are lower-cased on both sides."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import BuildError
-from ..functions.distance import unit_osa
-from ..functions.typo_scores import BOARDS, combined, fingerprint, fingerprint_difference, hamming, small
+from ..functions.fuzzy_scan import FuzzyBlock
+from ..functions.typo_scores import BOARDS, fingerprint, position_curve, small
+from .search import blockwise
 
 
 def index_terms(terms: DataFrame, k: int = 2) -> DataFrame:
@@ -20,49 +24,60 @@ def index_terms(terms: DataFrame, k: int = 2) -> DataFrame:
     return terms.withColumn("t", small(F.col("term"))).withColumn("n", F.length("t")).withColumn("fp", fingerprint("t"))
 
 
-def one_cut(longer: str, shorter: str) -> Column:
-    """Whether taking one character out of `longer` gives `shorter`."""
-    return F.expr(f"length({longer}) = length({shorter}) + 1 AND exists(sequence(1, greatest(1, length({longer}))), i -> concat(substring({longer}, 1, i - 1), substring({longer}, i + 1)) = {shorter})")
+def distinct_texts(index: DataFrame, most: int) -> DataFrame:
+    """(id, t, copies): each text once, with its smallest index and up to `most` as its rows."""
+    return index.filter("t IS NOT NULL").groupBy("t").agg(F.min("term_index").alias("id"), F.least(F.count(F.lit(1)), F.lit(most)).alias("copies")).select("id", "t", "copies")
 
 
 def fuzzy_candidates(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     """(q, term_index, distance): the first of these that holds - as many places
     differ as k allows; one character more or less; letters that nearly agree and
     k edits at most."""
-    asked = queries.select(small(F.col("q")).alias("q")).distinct().withColumn("m", F.length("q")).withColumn("qfp", fingerprint("q"))
-    wide = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") - max(k, 1)), F.col("m") + max(k, 1))))
-    pairs = wide.join(index.select("term_index", "t", "n", "fp"), "n").withColumn("h", hamming("q", "t")).withColumn("fd", fingerprint_difference("qfp", "fp"))
-    one = (F.col("fd") == 1) & (one_cut("t", "q") | one_cut("q", "t")) | one_cut("q", "t")
-    pairs = pairs.withColumn("distance", F.when(F.col("h") <= k, F.col("h")).when(one, F.lit(1)))
-    if k >= 2:
-        near = F.col("distance").isNull() & (F.col("fd") <= 2) & (F.abs(F.col("n") - F.col("m")) <= 2)
-        pairs = pairs.filter(F.col("distance").isNotNull() | near).withColumn("osa", unit_osa("q", "t"))
-        pairs = pairs.withColumn("distance", F.coalesce("distance", F.when(F.col("osa") <= k, F.col("osa"))))
-    return pairs.filter("distance IS NOT NULL").select("q", "term_index", F.col("distance").cast("int").alias("distance"))
+    asked = queries.select(small(F.col("q")).alias("q")).filter("q IS NOT NULL").distinct()
+    texts = distinct_texts(index, 1)
+
+    def scanned(batches: Iterator[pa.RecordBatch], block: FuzzyBlock) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q in batch.column("q").to_pylist():
+                at, distance = block.candidates(q, k)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array([block.texts[i] for i in at], pa.string()), pa.array(distance.astype(np.int32))], names=["q", "t", "distance"])
+
+    found = blockwise(asked, texts, texts.count(), FuzzyBlock, scanned, "q string, t string, distance int")
+    return found.join(index.select("term_index", "t"), "t").select("q", "term_index", "distance")
 
 
 def fuzzy_search(queries: DataFrame, index: DataFrame, most: int = 10, k: int = 2, board: str = "qwerty", threshold: float | None = None) -> DataFrame:
     """(qid, rank, term_index, term, score, hamming_distance): the best `most` of
     each query by score, ties to the smaller index. A query of several words with
     fewer hits is filled up with terms that hold its words nearly. threshold
-    drops worse hits after that."""
+    drops worse hits after that.
+
+    Equal texts have equal scores, so each is compared once: the `most` best texts,
+    ties to the smaller first index, hold the `most` best rows, and no text has
+    more of these than its `most` first."""
     if board not in BOARDS:
         raise ValueError(f"unknown keyboard {board!r}")
-    longest = index.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
-    found = fuzzy_candidates(queries, index, k).join(index.select("term_index", "term", "t"), "term_index").crossJoin(F.broadcast(longest))
-    scored = found.withColumn("score", combined("q", "t", "distance", "longest", board)).select("q", "term_index", "term", "score", "distance", F.lit(0).alias("turn"))
-    few = queries.select(small(F.col("q")).alias("q")).distinct().filter("q LIKE '% %'").join(scored.groupBy("q").agg(F.count(F.lit(1)).alias("hits")), "q", "left").filter(f"coalesce(hits, 0) < {most}")
-    tokens = few.select("q", F.expr("filter(split(q, '[ \\\\t\\\\n\\\\r]+'), w -> length(w) >= 2)").alias("tokens")).filter("size(tokens) > 1")
-    wins = f"exists(sequence(1, greatest(1, length(t) - length(w) + 1)), p -> length(t) >= length(w) AND size(filter(sequence(1, length(w)), i -> substring(w, i, 1) <> substring(t, p + i - 1, 1))) <= {k})"
-    # Words against terms: only the few queries with several words that found too little.
-    part = tokens.join(index.select("term_index", "term", "t"), F.expr(f"size(filter(tokens, w -> {wins})) > 0"))
-    share = F.expr(f"CAST(CAST(0.8 AS FLOAT) * CAST(size(filter(tokens, w -> {wins})) AS FLOAT) / CAST(size(tokens) AS FLOAT) AS FLOAT)")
-    filled = part.join(scored.select("q", "term_index"), ["q", "term_index"], "left_anti").select("q", "term_index", "term", share.alias("score"), F.lit(k).alias("distance"), F.lit(1).alias("turn"))
+    texts = distinct_texts(index, most)
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("t")), F.lit(0)).alias("longest")).first()
+    asked = queries.select("qid", small(F.col("q")).alias("q")).filter("q IS NOT NULL")
+    longest = size["longest"]
+
+    def scanned(batches: Iterator[pa.RecordBatch], block: FuzzyBlock) -> Iterator[pa.RecordBatch]:
+        curve = position_curve(longest)
+        for batch in batches:
+            for q in batch.column("q").to_pylist():
+                found, score, distance, turn = block.best(q, most, k, curve, board)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(score, pa.float32()), pa.array(distance.astype(np.int32)), pa.array(turn.astype(np.int32))], names=["q", "t", "score", "distance", "turn"])
+
+    near = blockwise(asked.select("q").distinct(), texts, size["n"], FuzzyBlock, scanned, "q string, t string, score float, distance int, turn int")
+    copy = F.row_number().over(Window.partitionBy("t").orderBy("term_index"))
+    rows = index.filter("t IS NOT NULL").select("term_index", "term", "t").withColumn("copy", copy).filter(F.col("copy") <= most).drop("copy")
+    hits = F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).over(Window.partitionBy("q"))
+    every = near.join(rows, "t").withColumn("hits", hits).filter(f"turn = 0 OR hits < {most}")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "term_index"))
-    best = scored.unionByName(filled).withColumn("rank", rank).filter(F.col("rank") <= most)
+    best = every.withColumn("rank", rank).filter(F.col("rank") <= most)
     if threshold is not None:
         best = best.filter(F.col("score") >= threshold)
-    asked = queries.select("qid", small(F.col("q")).alias("q"))
     return asked.join(best, "q").select("qid", "rank", "term_index", "term", "score", F.col("distance").alias("hamming_distance"))
 
 

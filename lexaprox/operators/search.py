@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import BudgetTooLargeError, QueryTooLongError
 from ..functions.costs import MAX_QUERY, CostModel, least_cost, symbol_mask, symbol_parts, whole_units
@@ -120,23 +122,30 @@ def scan(asked: DataFrame, dictionary: DataFrame, config: SearchConfig, cm: Cost
     A dictionary of up to BROADCAST_TERMS terms, which is counted first, is sent to
     the tasks; a larger one is dealt into blocks of that size, each with all
     queries in groups, and a query's hits of all blocks are ranked afterwards."""
-    spark, out = asked.sparkSession, "q string, id long, cost int, weight int"
+    out = "q string, id long, cost int, weight int"
     terms = dictionary.select("id", "norm", "weight")
-    n = terms.count()
+    return blockwise(asked, terms, terms.count(), TermBlock, lambda it, block: _scanned(it, block, config, cm, prefix), out)
+
+
+def blockwise(asked: DataFrame, terms: DataFrame, n: int, make, scanned, out: str) -> DataFrame:
+    """Rows `out` that scanned(batches of asked (q), block) yields for each query and
+    each block, which make() builds of the three columns of n terms, ids first."""
+    spark, (key, *rest) = asked.sparkSession, terms.columns
     if n <= BROADCAST_TERMS:
         rows = terms.collect()
-        block = spark.sparkContext.broadcast(TermBlock([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        block = spark.sparkContext.broadcast(make(*([r[i] for r in rows] for i in range(3))))
         dealt = asked.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "q")
-        return dealt.mapInArrow(lambda it: _scanned(it, block.value, config, cm, prefix), out)
+        return dealt.mapInArrow(lambda it: scanned(it, block.value), out)
     blocks, groups = -(-n // BLOCK_TERMS), max(1, -(-asked.count() // GROUP_QUERIES))
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = asked.withColumn("group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", each(blocks))
-    right = terms.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
+    right = terms.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
+    schema = to_arrow_schema(_parse_datatype_string(out))
 
     def run(qs: pa.Table, ts: pa.Table) -> pa.Table:
-        block = TermBlock(ts.column("id").to_pylist(), ts.column("norm").to_pylist(), ts.column("weight").to_pylist())
-        found = list(_scanned(iter(qs.select(["q"]).to_batches()), block, config, cm, prefix))
-        return pa.Table.from_batches(found, pa.schema([("q", pa.string()), ("id", pa.int64()), ("cost", pa.int32()), ("weight", pa.int32())]))
+        block = make(*(ts.column(c).to_pylist() for c in (key, *rest)))
+        found = [b.cast(schema) for b in scanned(iter(qs.select(["q"]).to_batches()), block)]
+        return pa.Table.from_batches(found, schema)
 
     return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(run, out)
 
