@@ -10,8 +10,8 @@ import re
 import numpy as np
 
 from .distance import UNIT_COSTS
-from .scan import TermBlock, _bits, _fill
-from .typo_scores import combined_score
+from .scan import TermBlock, _fill, own_bits
+from .typo_scores import combined_scores
 
 
 class FuzzyBlock(TermBlock):
@@ -31,8 +31,11 @@ class FuzzyBlock(TermBlock):
         if first >= last:
             return (np.empty(0, np.int64),) * 2
         lo, hi = self.begin[first], self.end[last - 1]
-        masks, mine = self.masks[lo:hi], np.bitwise_or.reduce(_bits(code), initial=np.uint64(0))
-        passed = np.flatnonzero((np.bitwise_count(mine & ~masks) <= most) & (np.bitwise_count(masks & ~mine) <= most)) + lo
+        mine, mine2 = own_bits(code)
+        at = np.flatnonzero(np.bitwise_count(mine & ~self.masks[lo:hi]) <= most) + lo
+        masks, twice = self.masks[at], self.twice[at]
+        lacks = lambda x, y: np.bitwise_count(x) + np.bitwise_count(y) <= most
+        passed = at[lacks(mine & ~masks, mine2 & ~twice) & lacks(masks & ~mine, twice & ~mine2)]
         own, places, found, parts = _letters(code[None])[0], [], [], []
         for f in range(first, last):
             at, n = passed[np.searchsorted(passed, self.begin[f]) : np.searchsorted(passed, self.end[f])], int(self.lengths[f])
@@ -80,7 +83,7 @@ class FuzzyBlock(TermBlock):
         their rows are too few for a query of several words, the best of the
         others that hold its words (turn 1)."""
         at, distance = self.candidates(q, k)
-        score = self.scores(q, at, distance, curve, board)
+        score = combined_scores(q.encode(), [self.texts[i].encode() for i in at], distance, curve, board)
         keep = np.lexsort((self.ids[at], -score))[:most]
         places, scores, distances, turns = [at[keep]], [score[keep]], [distance[keep]], [np.zeros(len(keep), np.int64)]
         words = [w for w in re.split("[ \t\n\r]+", q) if len(w) >= 2]
@@ -94,9 +97,6 @@ class FuzzyBlock(TermBlock):
                 out.append(x)
         return [self.texts[i] for i in np.concatenate(places)], *(np.concatenate(x) for x in (scores, distances, turns))
 
-    def scores(self, q: str, at: np.ndarray, distance: np.ndarray, curve: np.ndarray, board: str) -> np.ndarray:
-        return np.array([combined_score(q.encode(), self.texts[i].encode(), int(d), curve, board) for i, d in zip(at, distance)], dtype=np.float32)
-
 
 def _letters(t: np.ndarray) -> np.ndarray:
     """How often each of the characters 32..127 comes in each row, 255 at most."""

@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-from .costs import CostModel
+from .costs import UNIT, CostModel
 from .distance import FAR, _adjacency, _codes
 from .layout import neighbours
 
@@ -26,7 +26,8 @@ class TermBlock:
         self.order, self.ids, self.weights = order, np.asarray(ids, dtype=np.int64)[order], np.asarray(weights, dtype=np.int64)[order]
         self.lengths, self.begin = np.unique(n[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
-        self.codes, self.masks = [], np.zeros(len(order), np.uint64)
+        # Classes that a term has, and those that it has twice.
+        self.codes, self.masks, self.twice = [], np.zeros(len(order), np.uint64), np.zeros(len(order), np.uint64)
         # Counts of symbols, of a length at a time.
         self.counts = []
         for length, lo, hi in zip(self.lengths.tolist(), self.begin, self.end):
@@ -35,7 +36,9 @@ class TermBlock:
             for j in range(length):
                 if j < 127:
                     counts[np.arange(hi - lo), codes[:, j] & 31] += 1
-                self.masks[lo:hi] |= _bits(codes[:, j])
+                bit = _bits(codes[:, j])
+                self.twice[lo:hi] |= self.masks[lo:hi] & bit
+                self.masks[lo:hi] |= bit
             self.codes.append(codes)
             self.counts.append(counts)
         self.near: dict[str, np.ndarray] = {}
@@ -86,20 +89,63 @@ class TermBlock:
         """Places of the terms that no bound on symbols keeps out: every class of
         symbols that the other text lacks has to be left out or replaced, cheaply
         only by a key that touches it and that the other text has. The first of
-        equal symbols is never a doubled one."""
+        equal symbols is never a doubled one; a second one that is too much costs an
+        edit more."""
         if cm.first < 4:
             return np.arange(lo, hi)
         dear = min(cm.sub, cm.indel)
         cheap = min(dear, cm.sub_adjacent)
         masks, near, touched = self.masks[lo:hi], self._near(cm.layout)[lo:hi], _touched(cm.layout)
-        mine = np.bitwise_or.reduce(_bits(code), initial=np.uint64(0))
-        lacks = mine & ~masks
-        keep = cheap * np.bitwise_count(lacks).astype(np.int16) + (dear - cheap) * np.bitwise_count(lacks & ~near).astype(np.int16) <= budget
+        mine, mine2 = own_bits(code)
+        cost = lambda x, near, y: cheap * np.bitwise_count(x).astype(np.int16) + (dear - cheap) * np.bitwise_count(x & ~near).astype(np.int16) + cm.c_min * np.bitwise_count(y).astype(np.int16)
+        # The first bound leaves few; the others are worked out for these.
+        at = np.flatnonzero(cheap * np.bitwise_count(mine & ~masks).astype(np.int16) <= budget)
+        masks, twice = masks[at], self.twice[lo:hi][at]
+        keep = cost(mine & ~masks, near[at], mine2 & ~twice) <= budget
         if not prefix:
             about = np.bitwise_or.reduce(touched[np.minimum(code, len(touched) - 1)], initial=np.uint64(0))
-            lacks = masks & ~mine
-            keep &= cheap * np.bitwise_count(lacks).astype(np.int16) + (dear - cheap) * np.bitwise_count(lacks & ~about).astype(np.int16) <= budget
-        return np.flatnonzero(keep) + lo
+            keep &= cost(masks & ~mine, about, twice & ~mine2) <= budget
+        return at[keep] + lo
+
+
+class RankedTerms:
+    """Terms as blocks, the heaviest first, each some times as large as the one before.
+
+    Hits rank by cost, then weight, then id, so once a query has k hits, terms of
+    later blocks only matter if they cost less than the last of these."""
+
+    def __init__(self, ids, norms: list[str], weights, first: int = 4096, times: int = 4):
+        ids, weights = np.asarray(ids, dtype=np.int64), np.asarray(weights, dtype=np.int64)
+        order, self.blocks = np.lexsort((ids, -weights)), []
+        while len(order):
+            at, order, first = order[:first], order[first:], first * times
+            self.blocks.append(TermBlock(ids[at], [norms[i] for i in at], weights[at]))
+
+    def best(self, q: str, k: int, budget: int, ranking: str, cm: CostModel, prefix: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, costs, weights) of the k best terms within the budget, best first."""
+        kept = (np.empty(0, np.int64),) * 3
+        for block in self.blocks if k else ():
+            if budget < 0:
+                break
+            found = block.search(q, budget, cm, prefix)
+            if len(found[0]):
+                kept = tuple(np.concatenate(x) for x in zip(kept, found))
+                at = top(*kept, k, ranking)
+                kept = tuple(x[at] for x in kept)
+            if len(kept[0]) == k:
+                budget = min(budget, beaten(int(kept[1][-1]), ranking))
+        return kept
+
+
+def beaten(worst: int, ranking: str) -> int:
+    """What a term may cost that is to rank before all lighter ones of cost `worst`."""
+    return (-(-worst // UNIT) - 1) * UNIT if ranking == "coarse" else worst - 1
+
+
+def own_bits(code: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Classes of a query's symbols, and those that come twice."""
+    kinds, n = np.unique(_bits(code), return_counts=True)
+    return np.bitwise_or.reduce(kinds, initial=np.uint64(0)), np.bitwise_or.reduce(kinds[n > 1], initial=np.uint64(0))
 
 
 def _bits(code: np.ndarray) -> np.ndarray:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,12 +110,32 @@ def combined_score(q: bytes, t: bytes, hamming: int, curve: np.ndarray, board: s
     return _F(raw * (_F(1) / (_F(1) + _F(0.05) * _F(abs(len(q) - len(t))))))
 
 
-def combined(q: str | Column, t: str | Column, hamming: str | Column, longest: str | Column, board: str = "qwerty") -> Column:
-    def run(a: pd.Series, b: pd.Series, h: pd.Series, most: pd.Series) -> pd.Series:
-        curve = position_curve(int(most.iloc[0])) if len(most) else None
-        return pd.Series([combined_score(x.encode(), y.encode(), int(d), curve, board) for x, y, d in zip(a, b, h)], dtype="float32")
-
-    return F.pandas_udf(run, "float")(q, t, hamming, longest)
+def combined_scores(q: bytes, ts: list[bytes], hamming: np.ndarray, curve: np.ndarray, board: str = "qwerty") -> np.ndarray:
+    """combined_score of one text and each of many, a place of all at a time, with
+    the same single precision steps."""
+    m, n = len(q), np.fromiter(map(len, ts), dtype=np.int64, count=len(ts))
+    width = min(m, int(n.max(initial=0)))
+    t = np.frombuffer(b"".join(x[:width].ljust(width, b"\0") for x in ts), dtype=np.uint8).reshape(len(ts), width)
+    both, apart, table, conf = np.minimum(m, n), np.abs(m - n), codes(board), confusion(board)
+    penalty, bits, swaps, last = np.zeros(len(ts), np.float32), np.zeros(len(ts), np.int64), np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+    for i in range(width):
+        a, b, inside = q[i], t[:, i], i < both
+        place = curve[i] if i < len(curve) else _F(0.5)
+        likely = np.where((b >= 97) & (b <= 122), conf[a - 97, np.clip(b, 97, 122) - 97], _F(0.05)) if 97 <= a <= 122 else np.full(len(ts), _F(0.05))
+        penalty += np.where(inside & (b != a), (_F(1) - place * _F(0.6)) * (_F(1) - likely * _F(0.5)), _F(0))
+        bits += np.where(inside, np.bitwise_count(table[a] ^ table[b]), 0)
+        if i + 1 < width and a != q[i + 1]:
+            last = (i + 1 < both) & ~last & (t[:, i + 1] == a) & (b == q[i + 1])
+            swaps += last
+        else:
+            last = np.zeros(len(ts), bool)
+    penalty += apart.astype(np.float32) * _F(0.15)
+    typo = np.clip(_F(1) - penalty * _F(0.3) + swaps.astype(np.float32) * _F(0.35), _F(0), _F(1))
+    typo[both == 0] = 0
+    most = 8 * np.maximum(m, n)
+    off = np.minimum(_F(1), (bits + 8 * apart).astype(np.float32) / np.maximum(most, 1).astype(np.float32))
+    raw = _F(0.7) * typo + _F(0.3) * (_F(1) - off)
+    return np.where((hamming == 0) & (m == n), _F(1), raw * (_F(1) / (_F(1) + _F(0.05) * apart.astype(np.float32)))).astype(np.float32)
 
 
 def small(text: Column) -> Column:

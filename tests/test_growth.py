@@ -6,7 +6,7 @@ import re
 import numpy as np
 from test_other_operators import candidates
 
-from lexaprox.functions.typo_scores import combined_score, position_curve
+from lexaprox.functions.typo_scores import combined_score, combined_scores, position_curve
 from lexaprox.operators import fuzzy_index as fi
 from lexaprox.operators import search as se
 
@@ -52,3 +52,24 @@ def test_documents_compare_each_value_once(spark, monkeypatch):
     docs = fi.melt(spark.range(2000).selectExpr("id", "concat('name ', id % 5) AS name", "concat('kind', id % 3) AS kind"), "id", "name", "kind")
     hits = fi.Documents({"name": 2.0, "kind": 1.0}).search(spark.createDataFrame([(0, "nme 3")], "qid long, q string"), docs).orderBy("rank").collect()
     assert seen == [5, 3] and [h["doc_index"] for h in hits] == list(range(3, 53, 5))
+
+
+def test_scores_of_many_are_the_scores_of_each():
+    rng = random.Random(11)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, 9))).encode()
+    for letters in ("ab", "aeqwsdz", "abcXY 19-é"):
+        for board in ("qwerty", "azerty", "qwertz"):
+            for longest in (0, 4, 12):
+                q, ts, curve = text(letters), [text(letters) for _ in range(60)], position_curve(longest)
+                distance = np.array([rng.randint(0, 2) for _ in ts])
+                want = np.array([combined_score(q, t, int(d), curve, board) for t, d in zip(ts, distance)], dtype=np.float32)
+                assert (combined_scores(q, ts, distance, curve, board) == want).all()
+
+
+def test_index_search_makes_no_row_of_each_pair(spark):
+    words = ["".join(x) for x in ((a + b + c) for a in ("th", "an", "er") for b in ("re", "on", "at") for c in ("s", "ly", "ing"))]
+    index = fi.index_terms(spark.createDataFrame(list(enumerate(words)), "term_index long, term string"))
+    asked = [(i, w[0] + w[2:]) for i, w in enumerate(words)]
+    hits = fi.fuzzy_search(spark.createDataFrame(asked, "qid long, q string"), index)
+    assert {(r["qid"], r["rank"], r["term_index"], r["score"], r["hamming_distance"]) for r in hits.collect()} == naive_fuzzy(asked, words, 10)
+    assert "Generate" not in plan(hits) and "zip_with" not in plan(hits)
