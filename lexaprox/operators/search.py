@@ -1,8 +1,9 @@
 """Top-k search of mistyped queries in a dictionary.
 
 The search is a theta join on `cost <= budget` and a top k of each query. search()
-scans blocks of terms for each distinct query with numpy and keeps the k best of
-each block, so what is shuffled is k rows a query and block. within_budget() is
+scans blocks of terms for each distinct query with numpy, the heaviest terms first
+and the others within what the k best leave of the budget, so what is shuffled is
+k rows a query and block. within_budget() is
 the same join as a DataFrame plan that returns every pair: an equi join on the
 term's length, the query's being widened by budget / 8, then bounds that no pair
 within the budget fails, then the distance."""
@@ -20,10 +21,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import BudgetTooLargeError, QueryTooLongError
-from ..functions.costs import MAX_QUERY, CostModel, least_cost, symbol_mask, symbol_parts, whole_units
+from ..functions.costs import MAX_QUERY, UNIT, CostModel, least_cost, symbol_mask, symbol_parts, whole_units
 from ..functions.distance import distance
 from ..functions.normalize import normalize
-from ..functions.scan import TermBlock, top
+from ..functions.scan import RankedTerms
 
 #: Dictionaries of up to so many terms are sent to every task.
 BROADCAST_TERMS = 500_000
@@ -108,43 +109,63 @@ def ranked(hits: DataFrame, k: int, ranking: str = "coarse", by: str = "q") -> D
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], block: TermBlock, config: SearchConfig, cm: CostModel, prefix: bool) -> Iterator[pa.RecordBatch]:
+def _scanned(batches: Iterator[pa.RecordBatch], terms: RankedTerms, config: SearchConfig, cm: CostModel, prefix: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for q in batch.column("q").to_pylist():
-            ids, cost, weights = block.search(q, config.budget, cm, prefix)
-            best = top(ids, cost, weights, config.k, config.ranking)
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.string()), pa.array(ids[best]), pa.array(cost[best].astype(np.int32)), pa.array(weights[best].astype(np.int32))], names=["q", "id", "cost", "weight"])
+        for q, budget in zip(batch.column("q").to_pylist(), batch.column("budget").to_pylist()):
+            ids, cost, weights = terms.best(q, config.k, budget, config.ranking, cm, prefix)
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(ids), pa.string()), pa.array(ids), pa.array(cost.astype(np.int32)), pa.array(weights.astype(np.int32))], names=["q", "id", "cost", "weight"])
 
 
 def scan(asked: DataFrame, dictionary: DataFrame, config: SearchConfig, cm: CostModel, prefix: bool) -> DataFrame:
     """(q, id, cost, weight): the k best of each query, and of each block of terms.
 
     A dictionary of up to BROADCAST_TERMS terms, which is counted first, is sent to
-    the tasks; a larger one is dealt into blocks of that size, each with all
-    queries in groups, and a query's hits of all blocks are ranked afterwards."""
+    the tasks. Of a larger one the heaviest are, up to BLOCK_TERMS; the lighter ones
+    are dealt into blocks of that size, each with all queries in groups, and are
+    searched for what costs less than the worst of the k that a query has by then.
+    A query's hits of all blocks are ranked afterwards."""
     out = "q string, id long, cost int, weight int"
-    terms = dictionary.select("id", "norm", "weight")
-    return blockwise(asked, terms, terms.count(), TermBlock, lambda it, block: _scanned(it, block, config, cm, prefix), out)
-
-
-def blockwise(asked: DataFrame, terms: DataFrame, n: int, make, scanned, out: str) -> DataFrame:
-    """Rows `out` that scanned(batches of asked (q), block) yields for each query and
-    each block, which make() builds of the three columns of n terms, ids first."""
+    terms, asked = dictionary.select("id", "norm", "weight"), asked.withColumn("budget", F.lit(config.budget))
+    scanned = lambda it, block: _scanned(it, block, config, cm, prefix)
+    n = terms.count()
+    if n <= BROADCAST_TERMS or not config.k:
+        return blockwise(asked, terms, n, RankedTerms, scanned, out)
+    heavy, lightest = 0, None
+    for weight, some in terms.groupBy("weight").count().orderBy(F.desc("weight")).collect():
+        if heavy + some > BLOCK_TERMS:
+            break
+        heavy, lightest = heavy + some, weight
+    if not heavy:
+        return blockwise(asked, terms, n, RankedTerms, scanned, out)
+    first = blockwise(asked, terms.filter(F.col("weight") >= lightest), heavy, RankedTerms, scanned, out).persist()
+    worst = F.max(whole_units(F.col("cost"))) * UNIT if config.ranking == "coarse" else F.max("cost")
+    full = first.groupBy("q").agg(F.count(F.lit(1)).alias("hits"), (worst - (UNIT if config.ranking == "coarse" else 1)).alias("less")).filter(F.col("hits") == config.k)
+    left = asked.join(full, "q", "left").select("q", F.least("budget", "less").cast("int").alias("budget")).filter("budget >= 0")
+    return first.unionByName(blockwise(left, terms.filter(F.col("weight") < lightest), n - heavy, RankedTerms, scanned, out, dealt=True))
+
+
+def blockwise(asked: DataFrame, terms: DataFrame, n: int, make, scanned, out: str, dealt: bool = False) -> DataFrame:
+    """Rows `out` that scanned(batches of asked (q, ...), block) yields for each query and
+    each block, which make() builds of the three columns of n terms, ids first.
+    dealt: blocks are not sent to every task even if there are few terms."""
     spark, (key, *rest) = asked.sparkSession, terms.columns
-    if n <= BROADCAST_TERMS:
+    if n <= BROADCAST_TERMS and not dealt:
         rows = terms.collect()
         block = spark.sparkContext.broadcast(make(*([r[i] for r in rows] for i in range(3))))
-        dealt = asked.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "q")
-        return dealt.mapInArrow(lambda it: scanned(it, block.value), out)
-    blocks, groups = -(-n // BLOCK_TERMS), max(1, -(-asked.count() // GROUP_QUERIES))
+        some = asked.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "q")
+        return some.mapInArrow(lambda it: scanned(it, block.value), out)
+    blocks, groups = max(1, -(-n // BLOCK_TERMS)), max(1, -(-asked.count() // GROUP_QUERIES))
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = asked.withColumn("group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", each(blocks))
     right = terms.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
     schema = to_arrow_schema(_parse_datatype_string(out))
+    # So many parts that few hold two blocks; small ones would be put together else.
+    parts = min(2000, 8 * blocks * groups)
+    left, right = (x.repartition(parts, "block", "group") for x in (left, right))
 
     def run(qs: pa.Table, ts: pa.Table) -> pa.Table:
         block = make(*(ts.column(c).to_pylist() for c in (key, *rest)))
-        found = [b.cast(schema) for b in scanned(iter(qs.select(["q"]).to_batches()), block)]
+        found = [b.cast(schema) for b in scanned(iter(qs.drop_columns(["block", "group"]).to_batches()), block)]
         return pa.Table.from_batches(found, schema)
 
     return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(run, out)

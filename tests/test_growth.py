@@ -6,6 +6,8 @@ import re
 import numpy as np
 from test_other_operators import candidates
 
+from lexaprox.functions.costs import CostModel
+from lexaprox.functions.scan import RankedTerms, TermBlock, top
 from lexaprox.functions.typo_scores import combined_score, combined_scores, position_curve
 from lexaprox.operators import fuzzy_index as fi
 from lexaprox.operators import search as se
@@ -73,3 +75,20 @@ def test_index_search_makes_no_row_of_each_pair(spark):
     hits = fi.fuzzy_search(spark.createDataFrame(asked, "qid long, q string"), index)
     assert {(r["qid"], r["rank"], r["term_index"], r["score"], r["hamming_distance"]) for r in hits.collect()} == naive_fuzzy(asked, words, 10)
     assert "Generate" not in plan(hits) and "zip_with" not in plan(hits)
+
+
+def test_lighter_terms_are_searched_within_what_is_left(monkeypatch):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))) for _ in range(900)})
+    weights = [rng.randint(1, 40) for _ in words]
+    whole, ranked, budgets = TermBlock(range(len(words)), words, weights), RankedTerms(range(len(words)), words, weights, 50, 2), []
+    search = TermBlock.search
+    for q in ["", "abcd", "dcbaa", "zzzz", *words[::60]]:
+        for prefix, ranking, budget in ((False, "coarse", 32), (False, "exact", 32), (True, "coarse", 16), (False, "coarse", 48)):
+            ids, cost, weight = whole.search(q, budget, CostModel(), prefix)
+            at = top(ids, cost, weight, 10, ranking)
+            monkeypatch.setattr(TermBlock, "search", lambda self, q, budget, *rest: budgets.append(budget) or search(self, q, budget, *rest))
+            got = ranked.best(q, 10, budget, ranking, CostModel(), prefix)
+            monkeypatch.setattr(TermBlock, "search", search)
+            assert [x.tolist() for x in got] == [ids[at].tolist(), cost[at].tolist(), weight[at].tolist()]
+    assert budgets.count(16) > 20 and budgets.count(0) > 5
