@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.costs import MAX_QUERY, CostModel, whole_units
+from ..functions.costs import MAX_QUERY, UNIT, CostModel, whole_units
 from ..functions.distance import unit_osa
-from .search import ranked, within_budget
+from .search import SearchConfig, ranked, scan
 
 
 def same_sound(queries: DataFrame, dictionary: DataFrame, key, k: int = 10) -> DataFrame:
@@ -48,12 +48,15 @@ def rule_search(queries: DataFrame, dictionary: DataFrame, rules: DataFrame, rul
     """(qid, rank, id, norm, cost, weight): the best of a plain search and of the
     searches of all rewritten queries, whose hits cost rule_cost more."""
     var = variants(queries, rules)
-    own = within_budget(queries.select("q").distinct(), dictionary, budget, cm).select("q", "id", "norm", "weight", "cost")
-    far = ranked(within_budget(var.select(F.col("variant").alias("q")).distinct(), dictionary, budget, cm), depth).select(F.col("q").alias("variant"), "id", "norm", "weight", "cost")
-    more = var.join(far, "variant").select("q", "id", "norm", "weight", (F.col("cost") + rule_cost).alias("cost")).filter(F.col("cost") <= budget)
-    best = own.union(more).groupBy("q", "id", "norm", "weight").agg(F.min("cost").alias("cost"))
+    own = scan(queries.select("q").filter("q IS NOT NULL").distinct(), dictionary, SearchConfig(k, budget), cm, False)
+    # The best `depth` in whole edits that can stay within the budget come before all others.
+    reach = min(budget, max(0, -(-(budget - rule_cost) // UNIT)) * UNIT)
+    far = ranked(scan(var.select(F.col("variant").alias("q")).distinct(), dictionary, SearchConfig(depth, reach), cm, False), depth).select(F.col("q").alias("variant"), "id", "weight", "cost")
+    more = var.join(far, "variant").select("q", "id", (F.col("cost") + rule_cost).alias("cost"), "weight").filter(F.col("cost") <= budget)
+    best = own.union(more).groupBy("q", "id", "weight").agg(F.min("cost").alias("cost"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(whole_units(F.col("cost")), F.desc("weight"), "id"))
-    return queries.select("qid", "q").join(best.withColumn("rank", rank).filter(F.col("rank") <= k), "q").drop("q")
+    kept = best.withColumn("rank", rank).filter(F.col("rank") <= k).join(dictionary.select("id", "norm"), "id")
+    return queries.select("qid", "q").join(kept, "q").select("qid", "rank", "id", "norm", "cost", "weight")
 
 
 def mine_rules(pairs: DataFrame, top: int = 100, min_count: int = 2) -> DataFrame:

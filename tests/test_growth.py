@@ -4,13 +4,16 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_other_operators import candidates
 
 from lexaprox.functions.costs import CostModel
 from lexaprox.functions.scan import RankedTerms, TermBlock, top
 from lexaprox.functions.typo_scores import combined_score, combined_scores, position_curve
 from lexaprox.operators import fuzzy_index as fi
+from lexaprox.operators import phonetic_search as ps
 from lexaprox.operators import search as se
+from lexaprox.operators.dictionary import build
 
 
 def plan(df):
@@ -92,3 +95,16 @@ def test_lighter_terms_are_searched_within_what_is_left(monkeypatch):
             monkeypatch.setattr(TermBlock, "search", search)
             assert [x.tolist() for x in got] == [ids[at].tolist(), cost[at].tolist(), weight[at].tolist()]
     assert budgets.count(16) > 20 and budgets.count(0) > 5
+
+
+def test_rule_search_is_the_search_of_all_pairs(spark):
+    words = sorted({a + b + c for a in ("ph", "f", "th") for b in ("ie", "ei", "o") for c in ("ne", "nd", "ld")})
+    terms = build(spark.createDataFrame([(i, w, i % 5) for i, w in enumerate(words)], "input_index long, term string, weight int")).cache()
+    asked = spark.createDataFrame([(0, "fiend"), (1, "phonne"), (2, "thild"), (3, None)], "qid long, q string")
+    rules = spark.createDataFrame([("f", "ph"), ("ie", "ei"), ("nn", "n")], "rule_from string, rule_to string")
+    hits = ps.rule_search(asked, terms, rules, k=6, depth=4)
+    far = se.ranked(se.within_budget(ps.variants(asked, rules).selectExpr("variant AS q").distinct(), terms, 32, prune=False), 4).selectExpr("q AS variant", "id", "cost + 16 AS cost", "weight")
+    every = se.within_budget(asked.select("q"), terms, 32, prune=False).select("q", "id", "cost", "weight").union(ps.variants(asked, rules).join(far, "variant").select("q", "id", "cost", "weight").filter("cost <= 32"))
+    want = se.ranked(every.groupBy("q", "id", "weight").agg(F.min("cost").alias("cost")), 6).join(asked, "q")
+    assert {tuple(r) for r in hits.select("qid", "rank", "id", "cost").collect()} == {tuple(r) for r in want.select("qid", "rank", "id", "cost").collect()}
+    assert "ArrowEvalPython" not in plan(hits)
